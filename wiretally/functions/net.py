@@ -22,7 +22,6 @@ from wiretally.config import (
 # Address and identifier formats.
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-_IPV6_CHARS = r"^[0-9a-f:]*:[0-9a-f:]*(:([0-9]{1,3}\.){3}[0-9]{1,3})?$"
 _MAPPED = "00000000000000000000ffff"
 _UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
@@ -38,39 +37,42 @@ def _v4_hex(ip: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _v6_hex(ip: Column) -> Column:
     """Expand one IPv6 text to 32 hex digits; NULL when it is not an address."""
+
+    def plain(text: Column) -> Column:
+        """No dotted tail left."""
+
+        def halves(parts: Column) -> Column:
+            left = F.filter(F.split(F.get(parts, F.lit(0)), ":"), lambda g: g != "")
+            right = F.filter(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
+
+            def packed(sides: Column) -> Column:
+                missing = F.lit(8) - F.size(sides["l"]) - F.size(sides["r"])
+                zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+                groups = F.concat(sides["l"], zeros, sides["r"])
+                fits = F.when(F.size(parts) == 2, missing >= 1).otherwise(missing == 0)
+                text32 = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+                return F.when(fits & (F.size(parts) <= 2), text32)
+
+            return _let(F.struct(left.alias("l"), right.alias("r")), packed)
+
+        wrong = text.rlike(r"[0-9a-f]{5,}|^:[^:]|[^:]:$|:::") | ~text.rlike(r"^[0-9a-f:]*$")
+        return F.when(~wrong, _let(F.split(text, "::"), halves))
+
+    def with_tail(tail: Column) -> Column:
+        digits = _v4_hex(tail)
+        head = F.substring(ip, F.lit(1), F.length(ip) - F.length(tail))
+        return F.concat(head, F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
+
     tail = F.regexp_extract(ip, r"(([0-9]{1,3}\.){3}[0-9]{1,3})$", 1)
-    tail_hex = _v4_hex(tail)
-    text = F.when(
-        tail != "",
-        F.concat(
-            F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)),
-            F.substring(tail_hex, 1, 4),
-            F.lit(":"),
-            F.substring(tail_hex, 5, 4),
-        ),
-    ).otherwise(ip)
-    halves = F.split(text, "::")
-    groups = lambda part: F.filter(F.split(F.coalesce(part, F.lit("")), ":"), lambda g: g != "")
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    packed = F.array_join(
-        F.transform(
-            F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right),
-            lambda g: F.lpad(g, 4, "0"),
-        ),
-        "",
-    )
-    compressed = F.size(halves) == 2
-    well_formed = (
-        ip.rlike(_IPV6_CHARS)
-        & ((tail == "") | tail.rlike(_IPV4))
-        & (F.size(halves) <= 2)
-        & F.when(compressed, missing >= 1).otherwise(missing == 0)
-        & ~ip.rlike(r"[0-9a-f]{5,}|^:[^:]|[^:]:$|:::")
-    )
-    return F.when(well_formed, packed)
+    text = F.when(ip.contains("."), F.when(tail.rlike(_IPV4), _let(tail, with_tail))).otherwise(ip)
+    return _let(text, plain)
 
 
 def ip_hex(ip: Column | str) -> Column:
@@ -87,26 +89,22 @@ def ip_text(hex_key: Column | str) -> Column:
     dotted = F.concat_ws(
         ".", *[F.conv(F.substring(key, 25 + 2 * i, 2), 16, 10) for i in range(4)]
     )
-    full = F.concat_ws(
-        ":",
-        *[
-            F.regexp_replace(F.substring(key, 1 + 4 * i, 4), "^0{1,3}", "")
-            for i in range(8)
-        ],
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda i: F.regexp_replace(F.substring(key, i * 4 + 1, F.lit(4)), "^0{1,3}", ""),
     )
-    # The longest, leftmost run of zero groups (two or more) collapses to "::".
-    short = full
-    for run in range(2, 9):
-        zeros = ":".join(["0"] * run)
-        pattern = rf"(^|:){zeros}(:|$)"
-        short = F.when(full.rlike(pattern), F.regexp_replace(full, rf"^(.*?)(^|:){zeros}(:|$)(.*)$", "$1::$4")).otherwise(short)
-    return F.when(key.startswith(_MAPPED), dotted).otherwise(short)
 
+    def compress(full: Column) -> Column:
+        # The longest, leftmost run of zero groups (two or more) collapses to "::".
+        short = full
+        for run in range(2, 9):
+            zeros = ":".join(["0"] * run)
+            found = full.rlike(rf"(^|:){zeros}(:|$)")
+            cut = F.regexp_replace(full, rf"^(.*?)(^|:){zeros}(:|$)(.*)$", "$1::$4")
+            short = F.when(found, cut).otherwise(short)
+        return short
 
-def ip_canonical(ip: Column | str) -> Column:
-    """Canonical text of an address text, NULL when it is no address."""
-    ip = F.lower(F.trim(_as_col(ip)))
-    return F.when(ip.rlike(_IPV4), ip).when(ip.contains(":"), ip_text(_v6_hex(ip)))
+    return F.when(key.startswith(_MAPPED), dotted).otherwise(_let(F.array_join(groups, ":"), compress))
 
 
 def with_addresses(df: DataFrame, columns: dict[str, str], canonical: bool = False) -> DataFrame:
@@ -116,12 +114,18 @@ def with_addresses(df: DataFrame, columns: dict[str, str], canonical: bool = Fal
     copying the parsing expression into every range comparison that uses a key. With
     ``canonical`` the address columns are replaced by their canonical text.
     """
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
     fields = [ip_hex(column).alias(key) for key, column in columns.items()]
-    names = list(columns)
-    if canonical:
-        fields += [ip_canonical(column).alias(column) for column in columns.values()]
-    kept = [c for c in df.columns if not (canonical and c in columns.values()) and c not in names]
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*fields))))
+    out = df.select(*kept, F.inline(F.array(F.struct(*fields))))
+    if not canonical:
+        return out
+    clean = lambda c: F.lower(F.trim(F.col(c)))
+    texts = [
+        F.when(clean(column).rlike(_IPV4), clean(column)).otherwise(ip_text(key)).alias(column)
+        for key, column in columns.items()
+    ]
+    rest = [f"`{c}`" for c in out.columns if c not in columns.values()]
+    return out.select(*rest, F.inline(F.array(F.struct(*texts))))
 
 
 def is_ip(ip: Column | str) -> Column:
@@ -153,10 +157,31 @@ def in_subnets(hex_key: Column | str, cidrs: tuple[str, ...]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def network_id(hex_key: Column | str, agent: Column | str) -> Column:
-    """Network identity of a host: public, the sensor's own, or unknown-private."""
+def with_membership(
+    df: DataFrame, columns: dict[str, str], lists: dict[str, tuple[str, ...]]
+) -> DataFrame:
+    """Add one struct of list memberships per hex key (new column -> key column).
+
+    Like :func:`with_addresses` this uses a generator, so the range comparisons are
+    planned and evaluated once and every rule built on them reads plain booleans.
+    """
+    structs = [
+        F.struct(*[in_subnets(key, cidrs).alias(name) for name, cidrs in lists.items()]).alias(column)
+        for column, key in columns.items()
+    ]
+    return df.select("*", F.inline(F.array(F.struct(*structs))))
+
+
+# Ranges that never belong to the public network.
+NON_PUBLIC = PRIVATE_SUBNETS + LOOPBACK_AND_LINK_LOCAL
+
+
+def network_id(private: Column, agent: Column | str) -> Column:
+    """Network identity of a host: public, the sensor's own, or unknown-private.
+
+    ``private`` is membership in ``NON_PUBLIC``.
+    """
     agent = _as_col(agent)
-    private = in_subnets(hex_key, PRIVATE_SUBNETS + LOOPBACK_AND_LINK_LOCAL)
     return (
         F.when(~private, PUBLIC_NETWORK_ID)
         .when(agent.rlike(_UUID), F.lower(agent))

@@ -17,8 +17,9 @@ def rank_requests(http: DataFrame, keep: int = REQUESTS_PER_CONNECTION) -> DataF
     The rank filter is applied per partition before the shuffle as well, so a uid with a
     flood of requests ships at most ``keep`` rows per task.
     """
-    tie = F.xxhash64("ts", "host", "method", "uri", "trans_depth")
-    newest = Window.partitionBy("zeek_uid").orderBy(F.desc("ts"), F.desc("trans_depth"), tie)
+    newest = Window.partitionBy("zeek_uid").orderBy(
+        F.desc("ts"), F.desc("trans_depth"), "uri", "host", "method", "user_agent"
+    )
     return http.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= keep)
 
 

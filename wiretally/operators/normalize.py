@@ -11,50 +11,53 @@ from pyspark.sql import functions as F
 
 from wiretally.config import FilterConfig
 from wiretally.functions.domains import filter_domain, registrable_domain
-from wiretally.functions.net import conn_key, in_subnets, network_id, with_addresses
+from wiretally.functions.net import NON_PUBLIC, conn_key, network_id, with_addresses, with_membership
 
 # ---- pair filters: True means the pair is dropped ----------------------------------
+# ``src`` and ``dst`` are membership structs, see :func:`membership_lists`.
 
 
-def _lists(src: Column, dst: Column, cfg: FilterConfig) -> tuple[Column, Column]:
-    always = in_subnets(src, cfg.always_subnets) | in_subnets(dst, cfg.always_subnets)
-    never = in_subnets(src, cfg.never_subnets) | in_subnets(dst, cfg.never_subnets)
-    return always, never
+def membership_lists(cfg: FilterConfig) -> dict[str, tuple[str, ...]]:
+    return {
+        "always": cfg.always_subnets,
+        "never": cfg.never_subnets,
+        "internal": cfg.internal_subnets,
+        "private": NON_PUBLIC,
+    }
 
 
 def filter_conn_pair(src: Column, dst: Column, cfg: FilterConfig = FilterConfig()) -> Column:
     """Keeps traffic that crosses the border of the internal network."""
-    always, never = _lists(src, dst, cfg)
+    always, never = src["always"] | dst["always"], src["never"] | dst["never"]
     if not cfg.internal_subnets:
         return F.when(always, False).otherwise(never)
-    inside_src, inside_dst = (in_subnets(x, cfg.internal_subnets) for x in (src, dst))
-    inbound = F.lit(cfg.drop_external_to_internal) & ~inside_src & inside_dst
-    return F.when(always, False).otherwise(never | (inside_src == inside_dst) | inbound)
+    same_side = src["internal"] == dst["internal"]
+    inbound = F.lit(cfg.drop_external_to_internal) & ~src["internal"] & dst["internal"]
+    return F.when(always, False).otherwise(never | same_side | inbound)
 
 
-def filter_conn_pair_http(src: Column, dst: Column, cfg: FilterConfig = FilterConfig()) -> Column:
+def filter_conn_pair_http(src: Column, dst: Column) -> Column:
     """Like the pair filter but keeps internal pairs, which may lead to a proxy."""
-    always, never = _lists(src, dst, cfg)
-    inside_src, inside_dst = (in_subnets(x, cfg.internal_subnets) for x in (src, dst))
-    return F.when(always, False).otherwise(never | (~inside_src & ~inside_dst))
+    always, never = src["always"] | dst["always"], src["never"] | dst["never"]
+    return F.when(always, False).otherwise(never | (~src["internal"] & ~dst["internal"]))
 
 
 def filter_dns_pair(src: Column, dst: Column, cfg: FilterConfig = FilterConfig()) -> Column:
     """Keeps internal pairs too, because resolvers are often internal."""
-    always, never = _lists(src, dst, cfg)
+    always, never = src["always"] | dst["always"], src["never"] | dst["never"]
     if not cfg.internal_subnets:
         return F.when(always, False).otherwise(never)
-    inside_src, inside_dst = (in_subnets(x, cfg.internal_subnets) for x in (src, dst))
-    inbound = F.lit(cfg.drop_external_to_internal) & ~inside_src & inside_dst
-    return F.when(always, False).otherwise(never | (~inside_src & ~inside_dst) | inbound)
+    outside = ~src["internal"] & ~dst["internal"]
+    inbound = F.lit(cfg.drop_external_to_internal) & ~src["internal"] & dst["internal"]
+    return F.when(always, False).otherwise(never | outside | inbound)
 
 
-def filter_ip(ip: Column, cfg: FilterConfig = FilterConfig()) -> Column:
-    return ~in_subnets(ip, cfg.always_subnets) & in_subnets(ip, cfg.never_subnets)
+def filter_ip(ip: Column) -> Column:
+    return ~ip["always"] & ip["never"]
 
 
-def filter_sni_src(src: Column, cfg: FilterConfig = FilterConfig()) -> Column:
-    return ~in_subnets(src, cfg.internal_subnets)
+def filter_sni_src(src: Column) -> Column:
+    return ~src["internal"]
 
 
 # ---- entries -----------------------------------------------------------------------
@@ -63,15 +66,18 @@ def filter_sni_src(src: Column, cfg: FilterConfig = FilterConfig()) -> Column:
 def _endpoints(raw: DataFrame, cfg: FilterConfig) -> DataFrame:
     """Parse both addresses, drop rows where one is invalid, add locality and network."""
     agent = F.col("agent_uuid") if "agent_uuid" in raw.columns else F.lit(None).cast("string")
-    parsed = with_addresses(raw, {"src_hex": "src", "dst_hex": "dst"}, canonical=True)
+    parsed = with_addresses(raw, {"src_hex": "src", "dst_hex": "dst"}, canonical=True).filter(
+        F.col("src_hex").isNotNull() & F.col("dst_hex").isNotNull()
+    )
     return (
-        parsed.filter(F.col("src_hex").isNotNull() & F.col("dst_hex").isNotNull())
-        .withColumn("src_nuid", network_id("src_hex", agent))
-        .withColumn("dst_nuid", network_id("dst_hex", agent))
-        .withColumn("src_local", in_subnets("src_hex", cfg.internal_subnets))
-        .withColumn("dst_local", in_subnets("dst_hex", cfg.internal_subnets))
+        with_membership(parsed, {"src_in": "src_hex", "dst_in": "dst_hex"}, membership_lists(cfg))
+        .withColumn("src_nuid", network_id(F.col("src_in.private"), agent))
+        .withColumn("dst_nuid", network_id(F.col("dst_in.private"), agent))
+        .withColumn("src_local", F.col("src_in.internal"))
+        .withColumn("dst_local", F.col("dst_in.internal"))
         .withColumn("ts", F.date_trunc("second", "ts"))
         .withColumn("zeek_uid", conn_key("uid"))
+        .drop("src_hex", "dst_hex")
     )
 
 
@@ -81,8 +87,8 @@ def normalize_conn(raw: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFr
     icmp = F.col("proto") == "icmp"
     entries = _endpoints(raw, cfg)
     return (
-        entries.filter(~filter_conn_pair_http(F.col("src_hex"), F.col("dst_hex"), cfg))
-        .withColumn("filtered", filter_conn_pair(F.col("src_hex"), F.col("dst_hex"), cfg))
+        entries.filter(~filter_conn_pair_http(F.col("src_in"), F.col("dst_in")))
+        .withColumn("filtered", filter_conn_pair(F.col("src_in"), F.col("dst_in"), cfg))
         .select(
             "ts",
             "zeek_uid",
@@ -123,13 +129,13 @@ def normalize_dns(raw: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFra
     query = F.col("query")
     entries = _endpoints(raw.filter((query != "") & query.contains(".")), cfg)
     dropped = filter_domain("query", cfg.always_domains, cfg.never_domains) | filter_dns_pair(
-        F.col("src_hex"), F.col("dst_hex"), cfg
+        F.col("src_in"), F.col("dst_in"), cfg
     )
     return (
         entries.filter(~dropped)
         .withColumn("hash", conn_key("src", "dst", "query"))
         .withColumn("tld", registrable_domain("query"))
-        .drop("src_hex", "dst_hex")
+        .drop("src_in", "dst_in")
     )
 
 
@@ -137,32 +143,32 @@ def normalize_http(raw: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFr
     """HTTP entries. For CONNECT the destination is a proxy, not the end point, so the
     source and the named host are filtered instead of the address pair."""
     hosts = with_addresses(raw.withColumn("host", F.coalesce("host", F.lit(""))), {"_host_hex": "host"})
-    entries = _endpoints(hosts, cfg)
-    src, dst, host_hex = F.col("src_hex"), F.col("dst_hex"), F.col("_host_hex")
+    entries = with_membership(_endpoints(hosts, cfg), {"_host_in": "_host_hex"}, membership_lists(cfg))
+    src, dst, host = F.col("src_in"), F.col("dst_in"), F.col("_host_in")
     denied = filter_domain("host", cfg.always_domains, cfg.never_domains)
-    proxy_drop = filter_ip(src, cfg) | (
-        host_hex.isNotNull() & F.col("dst_local") & filter_conn_pair(src, F.coalesce(host_hex, dst), cfg)
+    proxy_drop = filter_ip(src) | (
+        F.col("_host_hex").isNotNull() & F.col("dst_local") & filter_conn_pair(src, host, cfg)
     )
-    direct_drop = filter_conn_pair(src, dst, cfg) | (filter_sni_src(src, cfg) & (F.col("host") != ""))
+    direct_drop = filter_conn_pair(src, dst, cfg) | (filter_sni_src(src) & (F.col("host") != ""))
     dropped = denied | F.when(F.col("method") == "CONNECT", proxy_drop).otherwise(direct_drop)
     return (
         entries.filter(~dropped)
         .withColumn("hash", conn_key("src", "src_nuid", "dst", "dst_nuid", "host"))
         .withColumn("pair_filtered", filter_conn_pair(src, dst, cfg))
-        .drop("src_hex", "dst_hex", "_host_hex")
+        .drop("src_in", "dst_in", "_host_in", "_host_hex")
     )
 
 
 def normalize_ssl(raw: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFrame:
     """TLS entries with a server name, after domain, pair and source filters."""
     entries = _endpoints(raw.filter(F.coalesce("server_name", F.lit("")) != ""), cfg)
-    src, dst = F.col("src_hex"), F.col("dst_hex")
+    src, dst = F.col("src_in"), F.col("dst_in")
     dropped = (
         filter_domain("server_name", cfg.always_domains, cfg.never_domains)
         | filter_conn_pair(src, dst, cfg)
-        | filter_sni_src(src, cfg)
+        | filter_sni_src(src)
     )
-    return entries.filter(~dropped).drop("src_hex", "dst_hex")
+    return entries.filter(~dropped).drop("src_in", "dst_in")
 
 
 def resolved_ips(dns: DataFrame) -> DataFrame:

@@ -439,10 +439,10 @@ def sql(body: str, extra: dict[str, str] | None = None) -> str:
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(known[name]) if known[name] is not text else None
-                if name not in needed:
-                    needed.append(name)
+            used = re.search(rf"\b(?:FROM|JOIN)\s+(?:\w+(?:\s+\w+)?,\s*)*{name}\b", text)
+            if name not in needed and used and known[name] is not text:
+                visit(known[name])
+                needed.append(name)
 
     visit(body)
     if not needed:
