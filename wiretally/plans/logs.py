@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wiretally.config import PUBLIC_NETWORK_ID, UNKNOWN_PRIVATE_NETWORK_ID
 from wiretally.operators import hourly, linking, normalize
 from wiretally.plans import adapters as ad
+from wiretally.session import materialise
 
 
 @dataclass
@@ -103,6 +104,25 @@ class OrderLogs:
         return ad.intel(self.spark, self.sf_dir)
 
 
+_STORED = ("conn", "open_conn", "http", "open_http", "ssl", "open_ssl", "dns")
+_imports: dict[tuple[str, str], OrderLogs] = {}
+
+
+def stored_logs(spark: SparkSession, sf_dir: str) -> OrderLogs:
+    """The import step: linked logs written once to the shared folder, then only read.
+
+    Everything after linking starts from stored tables, so roll-ups and scores do not
+    repeat the joins, and losing an executor costs no more than a re-read.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _imports:
+        logs = OrderLogs(spark, sf_dir)
+        for name in _STORED:
+            logs.__dict__[name] = materialise(getattr(logs, name), name)
+        _imports[key] = logs
+    return _imports[key]
+
+
 _PRIV, _PUB = UNKNOWN_PRIVATE_NETWORK_ID, PUBLIC_NETWORK_ID
 _LINKED = """src_ip_bytes, dst_ip_bytes, src_bytes, dst_bytes, src_packets, dst_packets"""
 

@@ -8,7 +8,7 @@ from wiretally.config import FilterConfig, PRIVATE_SUBNETS
 from wiretally.functions import domains, net
 from wiretally.operators import hourly, linking, normalize, tls
 from wiretally.plans import adapters as ad
-from wiretally.plans.logs import SQL, OrderLogs
+from wiretally.plans.logs import SQL, OrderLogs, stored_logs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,7 @@ def normalize_conn(spark, d):
     f"SELECT uid, query, tld, hash, {ad.sec('ts')} AS ts, src_nuid FROM dns",
 )
 def normalize_dns(spark, d):
-    return OrderLogs(spark, d).dns.select("uid", "query", "tld", "hash", secs("ts"), "src_nuid")
+    return stored_logs(spark, d).dns.select("uid", "query", "tld", "hash", secs("ts"), "src_nuid")
 
 
 @query(
@@ -268,7 +268,7 @@ def unfiltered(spark, d):
 
 @query("p15_resolved_ips", "SELECT uid, query, resolved_ip FROM resolved")
 def resolved_ips(spark, d):
-    return normalize.resolved_ips(OrderLogs(spark, d).dns).select("uid", "query", "resolved_ip")
+    return normalize.resolved_ips(stored_logs(spark, d).dns).select("uid", "query", "resolved_ip")
 
 
 @query(
@@ -296,7 +296,7 @@ def fqdn_check(spark, d):
 def exportable(spark, d):
     n = F.col("uid").cast("bigint") % 4
     name = F.when(n == 0, "in-addr.arpa").when(n == 1, "printer.local").when(n == 2, "").otherwise(F.col("tld"))
-    return OrderLogs(spark, d).dns.withColumn("name", name).select("uid", domains.is_exportable_domain("name").alias("keep"))
+    return stored_logs(spark, d).dns.withColumn("name", name).select("uid", domains.is_exportable_domain("name").alias("keep"))
 
 
 @query("p26_since", "SELECT uid FROM conn_events WHERE date_trunc('hour', ts) >= TIMESTAMP '2024-01-20 13:00:00'")
@@ -429,7 +429,7 @@ def sni_uids(logs: OrderLogs, min_unique_ts: int = 30, long_connection: float =
 
 @query("j04_sni_uids", "SELECT zeek_uid FROM used_uids", _UIDS)
 def sni_uids_query(spark, d):
-    return sni_uids(OrderLogs(spark, d))
+    return sni_uids(stored_logs(spark, d))
 
 
 @query(
@@ -439,7 +439,7 @@ def sni_uids_query(spark, d):
     _UIDS,
 )
 def ip_only(spark, d):
-    logs = OrderLogs(spark, d)
+    logs = stored_logs(spark, d)
     return linking.ip_only_keys(logs.conn.select("hash", "zeek_uid"), sni_uids(logs))
 
 
