@@ -7,6 +7,8 @@ anything is gathered, so an array holds fewer than 86,400 entries by constructio
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,13 +139,15 @@ def score_beacons(features: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> Da
             ),
         )
     )
+    # Parts have three decimals; exact decimals keep a tie such as 0.7485 a tie.
+    exact = lambda part, weight: c(part).cast("decimal(6,3)") * F.lit(Decimal(str(weight)))
     weighted = (
-        c("ts_score") * cfg.ts_weight
-        + c("ds_score") * cfg.ds_weight
-        + c("dur_score") * cfg.duration_weight
-        + c("hist_score") * cfg.histogram_weight
+        exact("ts_score", cfg.ts_weight)
+        + exact("ds_score", cfg.ds_weight)
+        + exact("dur_score", cfg.duration_weight)
+        + exact("hist_score", cfg.histogram_weight)
     )
-    return stage.withColumn("beacon_score", F.round(weighted, 3)).drop(
+    return stage.withColumn("beacon_score", F.round(weighted, 3).cast("double")).drop(
         "_q1", "_q2", "_q3", "_s1", "_s2", "_s3", "_freq"
     )
 
