@@ -36,7 +36,17 @@ def _cases(column: Column, mapping: dict[str, object], default: object) -> Colum
 
 
 def conn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return conn_of(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def conn_of(e: DataFrame) -> DataFrame:
+    """Connections from event rows, batch or stream."""
     kind = F.col("event_type")
     orig = F.floor(F.col("value") * 100).cast("bigint")
     orig_pkts = F.col("event_id") % 10 + 1
