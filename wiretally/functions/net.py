@@ -107,25 +107,33 @@ def ip_text(hex_key: Column | str) -> Column:
     return F.when(key.startswith(_MAPPED), dotted).otherwise(_let(F.array_join(groups, ":"), compress))
 
 
+def _v4_key(column: str) -> Column:
+    ip = F.trim(F.col(column))
+    return F.when(ip.rlike(_IPV4), F.concat(F.lit(_MAPPED), _v4_hex(ip)))
+
+
 def with_addresses(df: DataFrame, columns: dict[str, str], canonical: bool = False) -> DataFrame:
     """Add hex keys (new column -> address column) once per row.
 
-    The keys come out of a generator over one struct, which keeps the optimizer from
-    copying the parsing expression into every range comparison that uses a key. With
+    The keys come out of generators over one struct, which keeps the optimizer from
+    copying the parsing expression into every range comparison that uses a key. The
+    first one handles IPv4 in generated code, with the shared pieces evaluated once; the
+    second fills in IPv6, whose array functions only run for texts with a colon. With
     ``canonical`` the address columns are replaced by their canonical text.
     """
+    first = [_v4_key(column).alias(f"_v4_{key}") for key, column in columns.items()]
     kept = [f"`{c}`" for c in df.columns if c not in columns]
-    fields = [ip_hex(column).alias(key) for key, column in columns.items()]
-    out = df.select(*kept, F.inline(F.array(F.struct(*fields))))
-    if not canonical:
-        return out
-    clean = lambda c: F.lower(F.trim(F.col(c)))
-    texts = [
-        F.when(clean(column).rlike(_IPV4), clean(column)).otherwise(ip_text(key)).alias(column)
-        for key, column in columns.items()
-    ]
-    rest = [f"`{c}`" for c in out.columns if c not in columns.values()]
-    return out.select(*rest, F.inline(F.array(F.struct(*texts))))
+    plain = df.select(*kept, F.inline(F.array(F.struct(*first))))
+    second = []
+    for key, column in columns.items():
+        v4, ip = F.col(f"_v4_{key}"), F.lower(F.trim(F.col(column)))
+        second.append(F.when(v4.isNotNull(), v4).when(ip.contains(":"), _v6_hex(ip)).alias(key))
+        if canonical:
+            text = F.when(v4.isNotNull(), ip).when(ip.contains(":"), _let(_v6_hex(ip), ip_text))
+            second.append(text.alias(column))
+    replaced = set(columns.values()) if canonical else set()
+    rest = [f"`{c}`" for c in df.columns if c not in columns and c not in replaced]
+    return plain.select(*rest, F.inline(F.array(F.struct(*second))))
 
 
 def is_ip(ip: Column | str) -> Column:

@@ -104,7 +104,8 @@ class OrderLogs:
         return ad.intel(self.spark, self.sf_dir)
 
 
-_STORED = ("conn", "open_conn", "http", "open_http", "ssl", "open_ssl", "dns")
+# Normalised logs first, so each raw log is parsed once; then the linked ones.
+_STORED = ("conn_tmp", "open_conn_tmp", "http_tmp", "ssl_tmp", "http", "open_http", "ssl", "open_ssl", "conn", "open_conn", "dns")
 _imports: dict[tuple[str, str], OrderLogs] = {}
 
 

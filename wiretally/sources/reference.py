@@ -112,7 +112,7 @@ def read_scan_notices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_ja3_blacklist(spark: SparkSession, path: str) -> DataFrame:
     """Blacklisted fingerprints: lower-cased 32-digit hex keys only."""
     schema = "map<string, struct<family:string, threat:string, confidence:string, source:string>>"
-    text = spark.read.option("wholetext", True).text(path)  # one small reference file
+    text = spark.read.text(path, wholetext=True)  # one small reference file
     return (
         text.select(F.explode(F.from_json("value", schema)).alias("hash", "_v"))
         .select(F.lower(F.trim("hash")).alias("hash"), "_v.*")
