@@ -165,19 +165,56 @@ def in_subnets(hex_key: Column | str, cidrs: tuple[str, ...]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def membership_mask(key: Column, lists: list[tuple[str, ...]]) -> Column:
+    """Bit i is set when the key lies in a subnet of list i; 0 for NULL.
+
+    The subnets of all lists cut the address space into segments of equal membership; a
+    balanced tree of comparisons finds the segment, so a row costs a handful of
+    comparisons and the generated code stays small enough to be compiled.
+    """
+    bounds = [[cidr_bounds(c) for c in cidrs] for cidrs in lists]
+    starts = {"0" * 32}
+    for low, high in (pair for group in bounds for pair in group):
+        starts.add(low)
+        after = int(high, 16) + 1
+        if after < 1 << 128:
+            starts.add(format(after, "032x"))
+    segments: list[tuple[str, int]] = []
+    for start in sorted(starts):
+        mask = sum(
+            1 << i for i, group in enumerate(bounds) if any(lo <= start <= hi for lo, hi in group)
+        )
+        if not segments or segments[-1][1] != mask:
+            segments.append((start, mask))
+
+    def find(part: list[tuple[str, int]]) -> Column:
+        if len(part) == 1:
+            return F.lit(part[0][1])
+        middle = len(part) // 2
+        return F.when(key < part[middle][0], find(part[:middle])).otherwise(find(part[middle:]))
+
+    return F.when(key.isNull(), 0).otherwise(find(segments))
+
+
 def with_membership(
     df: DataFrame, columns: dict[str, str], lists: dict[str, tuple[str, ...]]
 ) -> DataFrame:
     """Add one struct of list memberships per hex key (new column -> key column).
 
-    Like :func:`with_addresses` this uses a generator, so the range comparisons are
-    planned and evaluated once and every rule built on them reads plain booleans.
+    Like :func:`with_addresses` this uses a generator, so the comparisons are planned and
+    evaluated once and every rule built on them reads plain bits.
     """
-    structs = [
-        F.struct(*[in_subnets(key, cidrs).alias(name) for name, cidrs in lists.items()]).alias(column)
+    masks = [
+        membership_mask(F.col(key), list(lists.values())).alias(f"_mask_{column}")
         for column, key in columns.items()
     ]
-    return df.select("*", F.inline(F.array(F.struct(*structs))))
+    marked = df.select("*", F.inline(F.array(F.struct(*masks))))
+    for column in columns:
+        bits = [
+            (F.col(f"_mask_{column}").bitwiseAND(1 << i) != 0).alias(name) for i, name in enumerate(lists)
+        ]
+        marked = marked.withColumn(column, F.struct(*bits)).drop(f"_mask_{column}")
+    return marked
 
 
 # Ranges that never belong to the public network.
