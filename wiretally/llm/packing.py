@@ -28,7 +28,7 @@ PER_SEQUENCE = 8
 #: Sentences longer than this also get inner boundaries, this far apart.
 LONGEST_STEP = 64
 #: Shortest sequence that is left at a power of two instead of being padded.
-LEAST_POWER = 64
+LEAST_POWER = 1
 #: Tokens over which one run of the programme goes; its last sequence starts the next run.
 RUN_TOKENS = 1 << 18
 #: Chunks whose ids are remembered by a task.
