@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -41,6 +42,12 @@ PIECES = (
 )
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker process: later tasks find it warm."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes, remembering the ids of space-led chunks.
 
@@ -66,6 +73,7 @@ class Encoder:
         )
         self.odd = re.compile(" \\s|\\s $|^ ")
         self.memo, self.limit = {}, memo
+        self.sentence_marks = self._sentence_marks()
 
     def bytes_of(self, text: str) -> bytes:
         if self.odd.search(text) or any(s in text for s in self.specials):
@@ -86,7 +94,7 @@ class Encoder:
         found = self.memo[word] = self._chunk(" " + word)
         return found
 
-    def sentence_marks(self) -> tuple[np.ndarray, np.ndarray]:
+    def _sentence_marks(self) -> tuple[np.ndarray, np.ndarray]:
         """By id: whether it ends a sentence, and whether it can start the next one."""
         size = max(self.vocab.values(), default=0) + len(self.specials) + 1
         ends, starts = np.zeros(size, bool), np.zeros(size, bool)
@@ -174,9 +182,9 @@ def boundaries(
     return known.tolist(), cost[known].tolist()
 
 
-def _pack(encoder: Encoder, window: int, run_tokens: int):
+def _pack(encode: Encoder, window: int, run_tokens: int):
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        marks = encoder.sentence_marks()
+        marks = encode.sentence_marks
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         open_docs: list[tuple] = []  # (doc_id, tokens of the document, start here, bytes)
@@ -215,7 +223,7 @@ def _pack(encoder: Encoder, window: int, run_tokens: int):
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                body = encoder.bytes_of(text) + end
+                body = encode.bytes_of(text) + end
                 open_docs.append((doc, len(body) // 4, 0, body))
                 held += len(body) // 4
                 if held >= run_tokens:
@@ -241,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ru
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
 
     def rows(batches):
-        yield from _pack(Encoder(tokenizer), window, run_tokens)(batches)
+        yield from _pack(encoder(tokenizer), window, run_tokens)(batches)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = texts_of(docs).repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
