@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wiretally.llm import packing
+from wiretally.llm import golay_dedup, packing, secrets, simhash_prints, url_filter
 from wiretally.llm.common import table
 
 
@@ -12,6 +12,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_prints.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
 
