@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wiretally.llm import golay_dedup, packing, secrets, simhash_prints, url_filter
+from wiretally.llm import golay_dedup, language_id, packing, quality, secrets, simhash_prints, toxicity, url_filter
 from wiretally.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_prints.with_edits(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,10 @@ def op9_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
 
