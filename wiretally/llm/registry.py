@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wiretally.llm import golay_dedup, language_id, packing, quality, secrets, simhash_prints, toxicity, url_filter
+from wiretally.llm import decontaminate, golay_dedup, language_id, packing, quality, secrets, simhash_prints, toxicity, url_filter, warc
 from wiretally.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,4 +53,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_warc_derivatives": warc.oracle()}
