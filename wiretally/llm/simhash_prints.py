@@ -16,12 +16,15 @@ PAIR = (1 << 32) | 1
 RANGES_PER_PARTITION = 8
 
 
-def term_hashes(text: Column) -> Column:
-    """One hash per occurrence of a term: neighbouring words in lower case, or the only word."""
+def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(hashed, F.slice(hashed, 2, F.size(hashed)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.when(F.size(hashed) < 2, hashed).otherwise(F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(1))))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def term_hashes(hashed: Column) -> Column:
+    """One hash per occurrence of a term: neighbouring words, or the only word."""
+    after = F.slice(hashed, 2, F.greatest(F.size(hashed) - 1, F.lit(1)))
+    return F.zip_with(F.slice(hashed, 1, F.greatest(F.size(hashed) - 1, F.lit(1))), after, lambda a, b: F.xxhash64(a, b))
 
 
 def _votes(term: Column) -> list[Column]:
@@ -51,7 +54,8 @@ def prints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     Needs no shuffle where ``texts`` is dealt out by one of the keys. A null or empty text has
     the fingerprint zero.
     """
-    terms = texts.select(*keys, F.explode_outer(term_hashes(F.coalesce(text, F.lit("")))).alias("__term"))
+    hashed = texts.select(*keys, word_hashes(F.coalesce(text, F.lit(""))).alias("__words"))
+    terms = hashed.select(*keys, F.explode_outer(term_hashes(F.col("__words"))).alias("__term"))
     votes = terms.groupBy(*keys).agg(F.count("__term").alias("__total"), *_votes(F.col("__term")))
     empty = F.col("__total") == 0
     zero = F.lit(0).cast("long")
