@@ -53,4 +53,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc_derivatives": warc.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op6_warc_derivatives": warc.oracle()}

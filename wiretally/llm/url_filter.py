@@ -107,3 +107,56 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         "rule",
         F.when(F.col("stated").isNotNull(), F.col("stated")).when(F.col("suspect"), "block").otherwise("allow").alias("verdict"),
     )
+
+
+def _oracle_rounds(name: str, seeds: str, edges: str) -> str:
+    """Unrolled rounds of :func:`_spread` as common table expressions."""
+    steps = [
+        f"{name}_degrees AS (SELECT src, count(*) AS degree FROM {edges} GROUP BY src)",
+        f"{name}_0 AS (SELECT host, seed AS rank FROM {seeds})",
+    ]
+    for n in range(ROUNDS):
+        steps.append(
+            f"""{name}_{n + 1} AS MATERIALIZED (SELECT host, CAST(sum(part) AS BIGINT) AS rank FROM (
+  SELECT host, seed * {100 - FOLLOW} // 100 AS part FROM {seeds}
+  UNION ALL SELECT e.dst, (r.rank * {FOLLOW}) // 100 // d.degree
+  FROM {edges} e JOIN {name}_degrees d USING (src) JOIN {name}_{n} r ON r.host = e.src) GROUP BY host)"""
+        )
+    return ",\n".join(steps)
+
+
+def oracle(rules=RULES) -> str:
+    """The same for DuckDB, over the table ``pages``."""
+    cases = {"rule": [], "stated": []}
+    for kind, domain, start in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
+        fits = f"WHEN (host = '{domain}' OR host LIKE '%.{domain}') AND starts_with(path, '{start}')"
+        cases["rule"].append(f"{fits} THEN '{domain + start}'")
+        cases["stated"].append(f"{fits} THEN '{kind}'")
+    lower = "translate(coalesce(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = "CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END"
+    return f"""
+WITH parts AS (
+  SELECT page_id, html, {lower.format("url")} AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+named AS (
+  SELECT *, CASE {" ".join(cases["rule"])} END AS rule, CASE {" ".join(cases["stated"])} END AS stated FROM parts),
+counts AS (
+  SELECT host, count(*) FILTER (stated = 'allow') AS good, count(*) FILTER (stated = 'block') AS bad
+  FROM named WHERE host <> '' GROUP BY host),
+totals AS (SELECT greatest(sum(good), 1) AS goods, greatest(sum(bad), 1) AS bads FROM counts),
+trusted AS (SELECT host, CAST(CAST(good AS HUGEINT) * {SCALE} // goods AS BIGINT) AS seed FROM counts, totals WHERE good > 0),
+blocked AS (SELECT host, CAST(CAST(bad AS HUGEINT) * {SCALE} // bads AS BIGINT) AS seed FROM counts, totals WHERE bad > 0),
+found AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS link FROM parts),
+ends AS (SELECT src, {lower.format(link)} AS dst FROM found),
+edges AS (SELECT DISTINCT src, dst FROM ends WHERE src <> '' AND dst <> '' AND src <> dst),
+backward AS (SELECT dst AS src, src AS dst FROM edges),
+{_oracle_rounds("trust", "trusted", "edges")},
+{_oracle_rounds("distrust", "blocked", "backward")},
+suspects AS (
+  SELECT d.host FROM distrust_{ROUNDS} d LEFT JOIN trust_{ROUNDS} t USING (host)
+  WHERE CAST(d.rank AS HUGEINT) * 100 > CAST(coalesce(t.rank, 0) AS HUGEINT) * {MARGIN})
+SELECT page_id, host, path, rule,
+  coalesce(stated, CASE WHEN s.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM named LEFT JOIN suspects s USING (host)
+"""
