@@ -11,8 +11,6 @@ REGISTRY_LABELS = ("com", "net", "org", "co")
 FQDN_PATTERN = r"^(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$"
 # Suffixes that never leave the local network.
 LOCAL_SUFFIXES = (".arpa", ".local")
-# From this many patterns on, domain lists are joined instead of inlined.
-INLINE_PATTERNS = 100
 
 
 def _as_col(value: Column | str) -> Column:

@@ -121,19 +121,16 @@ class Forest:
 
 
 def _sampled(encoded: DataFrame, trees: int, sample: int, total: int, seed: int) -> DataFrame:
-    """(tree, x) rows, about ``sample`` per tree.
+    """(tree, x) rows, about ``sample`` per tree: every tree draws from all rows, independently.
 
-    Large data: keep a row with the needed probability and give it to one tree. Small
-    data: a row may serve several trees, each drawn independently.
+    The draw is a hash of the row and the tree, so only drawn rows are ever written out and a
+    repeated task draws the same. Equal rows are told apart by a random number.
     """
-    if total >= trees * sample:
-        share = trees * sample / total
-        return encoded.filter(F.rand(seed) < share).select(
-            (F.floor(F.rand(seed + 1) * trees)).cast("int").alias("tree"), "x"
-        )
     share = min(1.0, sample / max(total, 1))
-    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    return encoded.select(each, "x").filter(F.rand(seed) < share)
+    limit = int(share * 2**62)
+    drawn = lambda t: F.shiftrightunsigned(F.xxhash64("_draw", t), 2) <= limit
+    own = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)
+    return encoded.select(F.rand(seed).alias("_draw"), "x").select(F.explode(own).alias("tree"), "x")
 
 
 def train_forest(encoded: DataFrame, trees: int = 300, sample: int = 256, seed: int = 42) -> Forest:

@@ -31,19 +31,18 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def capped_list(df: DataFrame, keys: list[str], value: str, cap: int, alias: str) -> DataFrame:
-    """The first ``cap`` distinct values per key, sorted.
+def value_list(df: DataFrame, keys: list[str], value: str, alias: str, cap: int | None = None) -> DataFrame:
+    """The distinct values per key, sorted; for display the first ``cap`` of them.
 
-    The rank limit runs before and after the shuffle, so no more than ``cap`` values per
+    A cap's rank limit runs before and after the shuffle, so no more than ``cap`` values per
     key and task are ever gathered.
     """
-    first = Window.partitionBy(*keys).orderBy(value)
+    values = df.select(*keys, value).distinct()
+    if cap is not None:
+        first = Window.partitionBy(*keys).orderBy(value)
+        values = values.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= cap)
     return (
-        df.select(*keys, value)
-        .distinct()
-        .withColumn("_rn", F.row_number().over(first))
-        .filter(F.col("_rn") <= cap)
-        .groupBy(*keys)
+        values.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(value)).alias(alias))
     )
 

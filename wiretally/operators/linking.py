@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Requests of one connection that are kept when linking.
-REQUESTS_PER_CONNECTION = 20
-
 _CARRIED = ("src_ip_bytes", "dst_ip_bytes", "src_bytes", "dst_bytes", "src_packets", "dst_packets")
 
 
-def rank_requests(http: DataFrame, keep: int = REQUESTS_PER_CONNECTION) -> DataFrame:
-    """Newest ``keep`` requests per uid with their rank.
-
-    The rank filter is applied per partition before the shuffle as well, so a uid with a
-    flood of requests ships at most ``keep`` rows per task.
-    """
+def rank_requests(http: DataFrame) -> DataFrame:
+    """All requests with their rank within the connection, newest first."""
     newest = Window.partitionBy("zeek_uid").orderBy(
         F.desc("ts"), F.desc("trans_depth"), "uri", "host", "method", "user_agent"
     )
-    return http.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= keep)
+    return http.withColumn("rn", F.row_number().over(newest))
 
 
 def link_http(http: DataFrame, conn: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from wiretally.functions.domains import registrable_domain
 from wiretally.functions.net import port_label
-from wiretally.operators.hourly import capped_list, union_all
-
-# Entries kept in display lists.
-IP_LIST_CAP = 10
-PORT_LIST_CAP = 20
+from wiretally.operators.hourly import union_all, value_list
 
 
 # ---- network size and prevalence ---------------------------------------------------
@@ -121,11 +117,12 @@ def sni_seconds(seconds: DataFrame) -> DataFrame:
 
 
 def rollup_sni(
-    usni: DataFrame, seconds: DataFrame, open_http: DataFrame, open_ssl: DataFrame
+    usni: DataFrame, seconds: DataFrame, open_http: DataFrame, open_ssl: DataFrame, cap: int | None = None
 ) -> DataFrame:
     """Source and server name over the range, from closed and open HTTP and TLS.
 
-    ``seconds``: hash, proxy, ts rows of the closed connections.
+    ``seconds``: hash, proxy, ts rows of the closed connections; ``cap``: entries kept in the
+    lists of addresses (default: all).
     """
     pair = ["hash", "src", "src_nuid", "fqdn"]
     closed = usni.select(
@@ -172,8 +169,8 @@ def rollup_sni(
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
     )
-    servers = capped_list(rows.filter(~F.col("proxy")), ["hash"], "dst", IP_LIST_CAP, "server_ips")
-    proxies = capped_list(rows.filter("proxy"), ["hash"], "dst", IP_LIST_CAP, "proxy_ips")
+    servers = value_list(rows.filter(~F.col("proxy")), ["hash"], "dst", "server_ips", cap)
+    proxies = value_list(rows.filter("proxy"), ["hash"], "dst", "proxy_ips", cap)
     empty = F.array().cast("array<string>")
     return (
         totals.join(sni_seconds(seconds), "hash", "left")
@@ -242,8 +239,8 @@ def attach_first_seen(df: DataFrame, history: DataFrame, column: str, key: str,
     )
 
 
-def port_labels(port_info: DataFrame, open_logs: list[DataFrame], cap: int = PORT_LIST_CAP) -> DataFrame:
-    """Distinct port labels per key, a sorted list of at most ``cap``."""
+def port_labels(port_info: DataFrame, open_logs: list[DataFrame], cap: int | None = None) -> DataFrame:
+    """Distinct port labels per key as a sorted list; for display of at most ``cap``."""
     closed = port_info.select(
         "hash", port_label("proto", "icmp_type", F.when(F.col("proto") == "icmp", F.col("icmp_code")).otherwise(F.col("dst_port")), "service").alias("label")
     )
@@ -251,7 +248,7 @@ def port_labels(port_info: DataFrame, open_logs: list[DataFrame], cap: int = POR
         df.select("hash", port_label("proto", "src_port", "dst_port", "service").alias("label"))
         for df in open_logs
     ]
-    return capped_list(union_all([closed, *opened]), ["hash"], "label", cap, "port_proto_service")
+    return value_list(union_all([closed, *opened]), ["hash"], "label", "port_proto_service", cap)
 
 
 def attach_ports(df: DataFrame, labels: DataFrame) -> DataFrame:

@@ -130,9 +130,19 @@ def _order_pair(key: str) -> tuple[Column, Column, Column]:
     )
 
 
+#: Sources that use names; the others only have connections.
+NAMED_SOURCES = 17
+
+
 def conn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One connection per order within one day; ``is_open`` marks pending orders."""
+    """One connection per order within one day; ``is_open`` marks pending orders.
+
+    Sources 18 to 20 use no names (no HTTP, no TLS); pending orders of source 20 go to a
+    destination that is never seen closed.
+    """
     ts, src, dst = _order_pair("o_orderkey")
+    only_open = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 20 == 19)
+    dst = F.when(only_open, "198.51.100.9").otherwise(dst)
     price = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("uid"),
@@ -158,10 +168,13 @@ def conn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per order line; many requests per connection."""
+    """One request per order line; for each fiftieth order eight of them, so that some connections have many."""
     ts, src, dst = _order_pair("l_orderkey")
     flag = F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").select(
+    times = F.sequence(F.lit(0), F.when(F.col("l_orderkey") % 50 == 0, 7).otherwise(0))
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 20 < NAMED_SOURCES)
+    lines = lines.select("*", F.explode(times).alias("_again")).withColumn("l_linenumber", F.col("l_linenumber") + 10 * F.col("_again"))
+    return lines.select(
         F.col("l_orderkey").cast("string").alias("uid"),
         F.timestamp_seconds(F.unix_seconds(ts) + F.col("l_linenumber")).alias("ts"),
         src.alias("src"),
@@ -192,7 +205,7 @@ def http_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ssl_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One TLS handshake per order."""
     ts, src, dst = _order_pair("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 20 < NAMED_SOURCES).select(
         F.col("o_orderkey").cast("string").alias("uid"),
         ts.alias("ts"),
         src.alias("src"),
@@ -372,7 +385,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "conn_orders": f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS uid, {_ORDER_TS.format('o_orderkey')} AS ts,
   '10.0.1.' || (o_orderkey % 20 + 1) AS src, CAST(40000 + o_orderkey % 20000 AS INTEGER) AS src_port,
-  '198.51.100.' || (o_orderkey % 7 + 1) AS dst,
+  CASE WHEN o_orderstatus = 'P' AND o_orderkey % 20 = 19 THEN '198.51.100.9' ELSE '198.51.100.' || (o_orderkey % 7 + 1) END AS dst,
   CASE WHEN o_orderstatus = 'F' THEN 443 ELSE 80 END AS dst_port, 'tcp' AS proto,
   CASE WHEN o_orderstatus = 'F' THEN 'ssl' ELSE 'http' END AS service,
   floor(o_totalprice / 1000) AS duration,
@@ -395,7 +408,8 @@ SELECT CAST(l_orderkey AS VARCHAR) AS uid, {_ORDER_TS.format('l_orderkey')} + to
   'agent/' || CASE WHEN l_returnflag = 'R' THEN l_suppkey ELSE l_partkey % 50 END AS user_agent,
   CASE l_returnflag WHEN 'A' THEN ['text/html'] WHEN 'N' THEN ['application/pdf']
     ELSE ['text/plain', 'image/png'] END AS dst_mime_types
-FROM lineitem""",
+FROM (SELECT * REPLACE (l_linenumber + 10 * again AS l_linenumber)
+  FROM (SELECT *, unnest(range(CASE WHEN l_orderkey % 50 = 0 THEN 8 ELSE 1 END)) AS again FROM lineitem WHERE l_orderkey % 20 < {NAMED_SOURCES}))""",
     "ssl_orders": f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS uid, {_ORDER_TS.format('o_orderkey')} AS ts,
   '10.0.1.' || (o_orderkey % 20 + 1) AS src, CAST(40000 + o_orderkey % 20000 AS INTEGER) AS src_port,
@@ -403,7 +417,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS uid, {_ORDER_TS.format('o_orderkey')} AS t
   's' || (o_custkey % 25) || '.example.net' AS server_name,
   md5(o_orderpriority) AS ja3, md5(o_orderstatus) AS ja3s, 'TLSv1' || (o_orderkey % 4) AS version,
   CASE WHEN o_orderstatus = 'F' THEN 'ok' ELSE 'self signed' END AS validation_status, true AS established
-FROM orders""",
+FROM orders WHERE o_orderkey % 20 < {NAMED_SOURCES}""",
     "dns_pages": f"""
 SELECT CAST(page_id AS VARCHAR) AS uid, TIMESTAMP '{DAY0}' + to_seconds(page_id * 60) AS ts,
   '10.0.1.' || (page_id % 8 + 1) AS src, CAST(50000 + page_id % 1000 AS INTEGER) AS src_port,

@@ -104,6 +104,15 @@ class OrderLogs:
         return ad.intel(self.spark, self.sf_dir)
 
 
+class RecentLogs(OrderLogs):
+    """The linked logs from an hour on: what an analysis of the last 24 hours reads."""
+
+    def __init__(self, logs: OrderLogs, min_ts):
+        super().__init__(logs.spark, logs.sf_dir)
+        for name in ("http", "open_http", "ssl", "open_ssl", "conn", "open_conn", "dns"):
+            self.__dict__[name] = hourly.since(getattr(logs, name), F.lit(min_ts), "ts")
+
+
 # Normalised logs first, so each raw log is parsed once; then the linked ones.
 _STORED = ("conn_tmp", "open_conn_tmp", "http_tmp", "ssl_tmp", "http", "open_http", "ssl", "open_ssl", "conn", "open_conn", "dns")
 _imports: dict[tuple[str, str], OrderLogs] = {}
@@ -143,7 +152,7 @@ def _http_sql(conn: str) -> str:
       CASE WHEN rn = 1 THEN c.duration ELSE 0 END AS duration, CASE WHEN rn = 1 THEN c.conn_state ELSE '' END AS conn_state,
       {carried}, rn > 1 AS multi_request,
       CASE WHEN host = '' THEN c.hash ELSE md5(h.src || '{_PRIV}' || host) END AS hash
-    FROM ranked h JOIN {conn} c ON md5(h.uid) = c.zeek_uid WHERE rn <= 20"""
+    FROM ranked h JOIN {conn} c ON md5(h.uid) = c.zeek_uid"""
 
 
 def _ssl_sql(conn: str) -> str:

@@ -306,8 +306,8 @@ ROLLUPS = {
     "sni_roll": """SELECT t.hash, src, src_nuid, fqdn, CAST(sum(c) AS BIGINT) AS count, CAST(sum(oc) AS BIGINT) AS open_count, CAST(sum(pc) AS BIGINT) AS proxy_count,
         sum(td) + sum(od) AS total_duration, sum(od) AS open_total_duration, CAST(sum(b) AS BIGINT) AS total_bytes, min(fs) AS first_seen, max(ls) AS last_seen,
         coalesce(any_value(ts_unique), 0) AS ts_unique,
-        coalesce(array_to_string(list_sort(list(DISTINCT dst) FILTER (NOT proxy))[:10], ','), '') AS server_ips,
-        coalesce(array_to_string(list_sort(list(DISTINCT dst) FILTER (proxy))[:10], ','), '') AS proxy_ips
+        coalesce(array_to_string(list_sort(list(DISTINCT dst) FILTER (NOT proxy)), ','), '') AS server_ips,
+        coalesce(array_to_string(list_sort(list(DISTINCT dst) FILTER (proxy)), ','), '') AS proxy_ips
       FROM sni_all t LEFT JOIN seconds_u s ON t.hash = s.hash GROUP BY t.hash, src, src_nuid, fqdn""",
     "ip_all": """SELECT hash, src, src_nuid, dst, dst_nuid, missing_host_count AS m, count AS c, 0 AS oc, total_duration AS td, 0.0 AS od, unique_ts_count AS u, total_ip_bytes AS b, first_seen AS fs, last_seen AS ls FROM uconn
       UNION ALL SELECT hash, src, src_nuid, dst, dst_nuid, CAST(missing_host_header AS INTEGER), 0, 1, 0.0, duration, 0, src_ip_bytes + dst_ip_bytes, ts, ts FROM open_conn""",
@@ -445,7 +445,7 @@ def labels(logs):
 
 @query(
     "j09_attach_ports",
-    """SELECT r.hash, coalesce(p, '') AS port_proto_service FROM ip_roll r LEFT JOIN (SELECT hash, array_to_string(list_sort(list(label))[:20], ',') AS p FROM labels_all GROUP BY hash) l ON r.hash = l.hash""",
+    """SELECT r.hash, coalesce(p, '') AS port_proto_service FROM ip_roll r LEFT JOIN (SELECT hash, array_to_string(list_sort(list(label)), ',') AS p FROM labels_all GROUP BY hash) l ON r.hash = l.hash""",
     {**ROLLUPS, **_PORT, **_LABELS},
 )
 def attach_ports(spark, d):
@@ -459,7 +459,7 @@ def attach_ports(spark, d):
 )
 def capped_lists(spark, d):
     h = stored_logs(spark, d).http.filter(F.col("host") != "").withColumn("fqdn", F.col("host"))
-    return hourly.capped_list(h, ["fqdn"], "src", 5, "sources").withColumn("sources", F.array_join("sources", ","))
+    return hourly.value_list(h, ["fqdn"], "src", "sources", cap=5).withColumn("sources", F.array_join("sources", ","))
 
 
 DIRECT = {

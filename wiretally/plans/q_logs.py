@@ -343,7 +343,7 @@ def extensions(spark, d):
 
 @query(
     "w01_rank_requests",
-    "SELECT uid, trans_depth, host, CAST(rn AS INTEGER) AS rn FROM ranked WHERE rn <= 20",
+    "SELECT uid, trans_depth, host, CAST(rn AS INTEGER) AS rn FROM ranked",
 )
 def rank_requests(spark, d):
     return linking.rank_requests(OrderLogs(spark, d).http_tmp).select("uid", "trans_depth", "host", "rn")
@@ -402,7 +402,7 @@ _UIDS = {
     "sni_totals": """SELECT u.hash, ts_unique, c AS count, dur FROM (SELECT hash, max(n) AS ts_unique FROM (
         SELECT hash, proxy, count(DISTINCT ts) AS n FROM sni_rows GROUP BY ALL) GROUP BY hash) u
       JOIN (SELECT hash, sum(count) AS c, sum(total_duration) AS dur FROM usni GROUP BY hash) t ON u.hash = t.hash
-      WHERE (ts_unique >= 30 AND c < 86400) OR dur >= 20000""",
+      WHERE (ts_unique >= 4 AND c < 86400) OR dur >= 3600""",
     "sni_keys": "SELECT hash, zeek_uid FROM http WHERE host <> '' UNION SELECT hash, zeek_uid FROM ssl",
     "open_sni_keys": "SELECT hash, zeek_uid FROM open_http WHERE host <> '' UNION SELECT hash, zeek_uid FROM open_ssl",
     "used_uids": "SELECT zeek_uid FROM sni_keys JOIN sni_totals USING (hash) UNION SELECT zeek_uid FROM open_sni_keys",
@@ -414,7 +414,7 @@ def sni_keys(logs: OrderLogs, opened: bool = False):
     return http.filter(F.col("host") != "").select("hash", "zeek_uid").union(ssl.select("hash", "zeek_uid")).distinct()
 
 
-def sni_uids(logs: OrderLogs, min_unique_ts: int = 30, long_connection: float = 20_000.0):
+def sni_uids(logs: OrderLogs):
     from wiretally.operators.rollups import sni_seconds
 
     totals = (
@@ -422,9 +422,12 @@ def sni_uids(logs: OrderLogs, min_unique_ts: int = 30, long_connection: float =
         .agg(F.sum("count").alias("count"), F.sum("total_duration").alias("total_duration"))
         .join(sni_seconds(logs.sni_rows), "hash")
     )
-    return linking.sni_uids(
-        totals, sni_keys(logs), sni_keys(logs, True), min_unique_ts=min_unique_ts, long_connection=long_connection
-    )
+    return linking.sni_uids(totals, sni_keys(logs), sni_keys(logs, True))
+
+
+def pair_keys(logs: OrderLogs):
+    """Keys of closed and of open connections: a pair may only ever be seen open."""
+    return logs.conn.select("hash", "zeek_uid").union(logs.open_conn.select("hash", "zeek_uid"))
 
 
 @query("j04_sni_uids", "SELECT zeek_uid FROM used_uids", _UIDS)
@@ -434,13 +437,13 @@ def sni_uids_query(spark, d):
 
 @query(
     "j05_ip_only_keys",
-    """SELECT k.hash FROM (SELECT DISTINCT hash, zeek_uid FROM conn) k LEFT JOIN used_uids u ON k.zeek_uid = u.zeek_uid
+    """SELECT k.hash FROM (SELECT hash, zeek_uid FROM conn UNION SELECT hash, zeek_uid FROM open_conn) k LEFT JOIN used_uids u ON k.zeek_uid = u.zeek_uid
     GROUP BY k.hash HAVING count(u.zeek_uid) = 0""",
     _UIDS,
 )
 def ip_only(spark, d):
     logs = stored_logs(spark, d)
-    return linking.ip_only_keys(logs.conn.select("hash", "zeek_uid"), sni_uids(logs))
+    return linking.ip_only_keys(pair_keys(logs), sni_uids(logs))
 
 
 _EV = {

@@ -138,7 +138,7 @@ def _forest(spark, d):
     encoder = anomaly.fit_encoder(features)
     encoded = materialise(anomaly.encode(features, encoder), "anomaly-features")
     benign = encoded.filter(F.col("conn_state") == "SF")
-    forest = anomaly.train_forest(benign, trees=100)
+    forest = anomaly.train_forest(benign)
     return encoded, benign, forest
 
 

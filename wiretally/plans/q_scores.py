@@ -13,7 +13,7 @@ from wiretally.operators.alerts import make_alerts
 from wiretally.plans import adapters as ad
 from wiretally.plans import q_hourly as qh
 from wiretally.plans import q_logs as ql
-from wiretally.plans.logs import SQL, stored_logs
+from wiretally.plans.logs import SQL, RecentLogs, stored_logs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -257,10 +257,16 @@ def band(spark, d):
 
 
 def scored_rows(logs):
-    """All threat rows of the import with their row modifiers."""
+    """All threat rows of the last 24 hours of the import with their row modifiers.
+
+    Only first sights and the size of the network come from the whole import.
+    """
     size, span = qh.size(logs), ip_span(logs)
     seen = qh.first_seen(logs)
-    keys = linking.ip_only_keys(logs.conn.select("hash", "zeek_uid"), ql.sni_uids(logs))
+    start = span.select("min_ts").first()[0]
+    if start is not None:
+        logs = RecentLogs(logs, start)
+    keys = linking.ip_only_keys(ql.pair_keys(logs), ql.sni_uids(logs))
     ip = qh.rollup_ip(logs, keys)
     ip = beacons.score_keys(ip, hourly.pair_seconds(logs.conn), hourly.pair_sizes(logs.conn), span)
     ip = rollups.attach_intel(ip, logs.intel, "target_ip", "ip")
@@ -305,8 +311,8 @@ _NET = "(SELECT count(*) FROM hosts)"
 _NOW = "(SELECT epoch(max_ts)::BIGINT FROM beacon_span)"
 _ALL.update(
     {
-        "only_ip": """SELECT k.hash FROM (SELECT DISTINCT hash, zeek_uid FROM conn) k LEFT JOIN used_uids u ON k.zeek_uid = u.zeek_uid GROUP BY k.hash HAVING count(u.zeek_uid) = 0""",
-        "ports": "SELECT hash, array_to_string(list_sort(list(label))[:20], ',') AS ports FROM labels_all GROUP BY hash",
+        "only_ip": """SELECT k.hash FROM (SELECT hash, zeek_uid FROM conn UNION SELECT hash, zeek_uid FROM open_conn) k LEFT JOIN used_uids u ON k.zeek_uid = u.zeek_uid GROUP BY k.hash HAVING count(u.zeek_uid) = 0""",
+        "ports": "SELECT hash, array_to_string(list_sort(list(label)), ',') AS ports FROM labels_all GROUP BY hash",
         "t_ip": f"""SELECT r.hash, 'ip' AS beacon_type, src, src_nuid, dst, dst_nuid, '' AS fqdn, count, total_duration, total_bytes, missing_host_count, 0 AS subdomain_count, beacon_score,
             EXISTS (SELECT 1 FROM intel i WHERE i.ip = target_ip AND i.ip <> '') AS listed, coalesce(prevalence_total, 0) AS prevalence_total, false AS quiet,
             r.last_seen, f.first_seen AS fsh, coalesce(ports, '') AS ports
@@ -450,10 +456,10 @@ def filter_duration(spark, d):
     return scoring.filter_results(joined, duration=("=", F.col("_top"))).select("hash", F.floor("total_duration").alias("seconds"))
 
 
-@query("t01_order_results", f"SELECT {_VIEW} FROM view ORDER BY round(final_score::DOUBLE, 6) DESC, strobe_score DESC, beacon_score DESC NULLS LAST, hash LIMIT 40")
+@query("t01_order_results", f"SELECT {_VIEW} FROM view ORDER BY round(final_score::DOUBLE, 6) DESC, strobe_score DESC, beacon_score DESC NULLS LAST, hash")
 def order_results(spark, d):
     v = view(spark, d).withColumn("final_score", F.round("final_score", 6))
-    return _shown(scoring.order_results(v).limit(40))
+    return _shown(scoring.order_results(v))
 
 
 @query(
@@ -593,7 +599,7 @@ def tunnel_findings(spark, d):
 _SEV = "list_position(['info', 'low', 'medium', 'high', 'critical'], {0})"
 _DEDUP = {
     **_FOUND,
-    "best": f"SELECT fp, arg_max(bs, (bs, severity)) AS bs, arg_max(severity, (bs, severity)) AS severity FROM typed WHERE bs >= 0.3 AND NOT strobe GROUP BY fp",
+    "best": f"SELECT fp, arg_max(bs, (bs, severity)) AS bs, arg_max(severity, (bs, severity)) AS severity FROM typed WHERE NOT strobe GROUP BY fp",
     "prior": """SELECT fp, arg_max(bs, (bs, severity)) AS last_score, arg_max(severity, (bs, severity)) AS last_severity FROM typed WHERE bs < 0.7 AND NOT strobe AND sev <> 'High' GROUP BY fp""",
 }
 
@@ -610,7 +616,7 @@ def dedup_beacons(spark, d):
     state = earlier.groupBy("fingerprint").agg(F.max(F.struct("beacon_score", "severity")).alias("m")).select(
         "fingerprint", F.col("m.beacon_score").alias("last_score"), F.col("m.severity").alias("last_severity"), F.lit(1).cast("bigint").alias("cycles")
     )
-    emitted, _ = findings.dedup_beacons(state, rows.filter("beacon_score >= 0.3"))
+    emitted, _ = findings.dedup_beacons(state, rows)
     return emitted.select("fingerprint", "beacon_score", "severity", "change_status")
 
 
@@ -627,7 +633,7 @@ def dedup_state(spark, d):
     state = earlier.groupBy("fingerprint").agg(F.max(F.struct("beacon_score", "severity")).alias("m")).select(
         "fingerprint", F.col("m.beacon_score").alias("last_score"), F.col("m.severity").alias("last_severity"), F.lit(1).cast("bigint").alias("cycles")
     )
-    _, after = findings.dedup_beacons(state, rows.filter("beacon_score >= 0.3"))
+    _, after = findings.dedup_beacons(state, rows)
     return after.select("fingerprint", "last_score", "cycles")
 
 

@@ -119,8 +119,6 @@ RENAMED = {"id.orig_h": "src", "id.orig_p": "src_port", "id.resp_h": "dst", "id.
 # Marks of an absent value.
 UNSET, EMPTY = "-", "(empty)"
 BAD_LINE_LIMIT = 25
-# Up to this many files the per-file headers are broadcast.
-BROADCAST_FILES = 50_000
 
 _PREFIXES = ("conn", "open_conn", "dns", "http", "open_http", "ssl", "open_ssl")
 
@@ -213,13 +211,11 @@ def read_headers(lines: DataFrame) -> DataFrame:
 def read_zeek_tsv(spark: SparkSession, paths: str | list[str], log_type: str) -> DataFrame:
     """Tab-separated log, plain or gzip, columns taken by the names of its own header.
 
-    Unknown fields are skipped and absent ones are NULL. Headers are one row per file:
-    broadcast while the number of files is moderate, joined by shuffle beyond.
+    Unknown fields are skipped and absent ones are NULL. Headers are one row per file; how
+    they are joined is left to the planner, which knows their size.
     """
     lines = _lines(spark, paths)
     headers = read_headers(lines)
-    if len(lines.inputFiles()) <= BROADCAST_FILES:
-        headers = F.broadcast(headers)
     rows = (
         lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
         .join(headers, "file")
@@ -238,8 +234,6 @@ def file_quality(spark: SparkSession, paths: str | list[str], limit: int = BAD_L
     """
     lines = _lines(spark, paths)
     headers = read_headers(lines)
-    if len(lines.inputFiles()) <= BROADCAST_FILES:
-        headers = F.broadcast(headers)
     line = F.col("value")
     cells = F.size(F.expr("split(value, concat('\\\\Q', sep, '\\\\E'))"))
     bad = F.when(line.startswith("{"), F.try_parse_json(line).isNull()).otherwise(
