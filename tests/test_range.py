@@ -47,3 +47,14 @@ def test_each_tree_samples_all_rows(spark):
     rows = spark.range(6000).select(F.array(F.col("id").cast("double")).alias("x"))
     sizes = anomaly._sampled(rows, 40, 256, 6000, 1).groupBy("tree").count().collect()
     assert len(sizes) == 40 and all(150 < r["count"] < 400 for r in sizes)
+
+
+def test_a_failing_detector_does_not_stop_the_others(spark):
+    from wiretally.operators.runner import run_detectors
+
+    good = lambda: spark.range(3).withColumnRenamed("id", "alert")
+    broken = lambda: spark.range(3).select(F.raise_error(F.lit("no")).alias("alert"))
+    alerts, status = run_detectors(spark, {"a": good, "b": broken, "c": good})
+    assert alerts.count() == 6
+    assert {r.detector: (r.status, r.alerts) for r in status.collect()} == {"a": ("ok", 3), "b": ("failed", None), "c": ("ok", 3)}
+    assert run_detectors(spark, {"b": broken})[0] is None

@@ -89,13 +89,16 @@ def train_dga(spark, d):
     return dga.threshold_sweep(judged).orderBy("threshold")
 
 
-@query("d16_detect_dga")
-def detect_dga(spark, d):
+def dga_findings(spark, d):
     _, model, judged = _model(spark, d)
     threshold = dga.best_threshold(dga.threshold_sweep(judged))
-    dns = ad.dns_pages(spark, d)
     w = words(spark, d)
-    found = dga.detect_dga(dns, w, dga.fit_bigrams(w), model, threshold)
+    return dga.detect_dga(ad.dns_pages(spark, d), w, dga.fit_bigrams(w), model, threshold)
+
+
+@query("d16_detect_dga")
+def detect_dga(spark, d):
+    dns, found = ad.dns_pages(spark, d), dga_findings(spark, d)
     return dns.select("uid", "query").join(found.select("uid", "flow_id", "confidence"), "uid", "left")
 
 

@@ -650,6 +650,16 @@ def dedup_tunnels(spark, d):
     return fresh.select("fingerprint")
 
 
+def made_beacon_alerts(spark, d):
+    rows = findings.as_beacon_alert_rows(findings.beacon_candidates(_beacon_rows(spark, d)))
+    return make_alerts(rows.withColumn("ts", F.lit("2024-01-30").cast("timestamp")), "beaconing", "pair_beacons", ["fingerprint", "beacon_score", "connection_count"])
+
+
+def made_tunnel_alerts(spark, d):
+    rows = findings.as_tunnel_alert_rows(findings.tunnel_findings(findings.normalize_findings(raw_findings(spark, d))))
+    return make_alerts(rows.withColumn("ts", F.lit("2024-01-30").cast("timestamp")), "dns_tunnel", "dns_tunnels", ["fqdn", "c2_score", "subdomains"])
+
+
 @query(
     "d19_beacon_alerts",
     """SELECT fp AS flow_id, severity, round_even(least(greatest(bs, 0), 1), 4) AS confidence, s AS source, t AS destination, 'c2_beaconing' AS subtype, 'beaconing' AS threat_class, count(*) AS n
@@ -657,8 +667,7 @@ def dedup_tunnels(spark, d):
     _FOUND,
 )
 def beacon_alerts(spark, d):
-    rows = findings.as_beacon_alert_rows(findings.beacon_candidates(_beacon_rows(spark, d)))
-    made = make_alerts(rows.withColumn("ts", F.lit("2024-01-30").cast("timestamp")), "beaconing", "pair_beacons", ["fingerprint", "beacon_score", "connection_count"])
+    made = made_beacon_alerts(spark, d)
     keys = ("flow_id", "severity", "confidence", "source", "destination", "subtype", "threat_class")
     return made.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
@@ -670,8 +679,7 @@ def beacon_alerts(spark, d):
     _FOUND,
 )
 def tunnel_alerts(spark, d):
-    rows = findings.as_tunnel_alert_rows(findings.tunnel_findings(findings.normalize_findings(raw_findings(spark, d))))
-    made = make_alerts(rows.withColumn("ts", F.lit("2024-01-30").cast("timestamp")), "dns_tunnel", "dns_tunnels", ["fqdn", "c2_score", "subdomains"])
+    made = made_tunnel_alerts(spark, d)
     return made.groupBy("flow_id", "severity", "confidence", "subtype", "threat_class").agg(F.count(F.lit(1)).alias("n"))
 
 
