@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.operators.alerts import uuid_of
+from wiretally.session import materialise
 
 WINDOW_SECONDS = 300
 _MICROS = 1_000_000
@@ -103,45 +104,45 @@ def find_anchors(openers: DataFrame, window: int, chunk: int) -> DataFrame:
         .withColumn("_crowded", near(F.lag("_t").over(part)) | near(F.lead("_t").over(part)))
         .filter(F.floor(F.col("_t") / chunk) == F.col("_chunk"))
     )
-    crowded = judged.filter("_crowded").select("source", "_t", "_chunk")
+    judged = materialise(judged, "openers")
+    chunks = materialise(
+        judged.filter("_crowded").groupBy("source", "_chunk").agg(F.sort_array(F.collect_list("_t")).alias("_times")), "chunks"
+    )
+
+    # Many chunks hold few openers each, so a call works on a batch of chunks.
+    @F.pandas_udf("array<struct<_upto: bigint, _leaves: bigint>>")
+    def summarise(times: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                [{"_upto": u, "_leaves": v} for u, v in chunk_function(t.tolist(), n * chunk, (n + 1) * chunk, window)]
+                for t, n in zip(times, number.tolist())
+            ]
+        )
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(key[1])
-        times = sorted(int(t) for t in pdf._t)
-        steps = chunk_function(times, number * chunk, (number + 1) * chunk, window)
-        out = pd.DataFrame(steps, columns=["_upto", "_leaves"])
-        out.insert(0, "_chunk", number)
-        out.insert(0, "source", key[0])
-        return out
+    @F.pandas_udf("array<bigint>")
+    def replay(times: pd.Series, entry: pd.Series, number: pd.Series) -> pd.Series:
+        rows = zip(times, entry.tolist(), number.tolist())
+        return pd.Series([_walk(t.tolist(), e, (n + 1) * chunk, window) for t, e, n in rows])
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_chunk", "_upto"])
-        out = []
-        carry = 0
-        for number, part in pdf.groupby("_chunk", sort=True):
-            entry = max(int(number) * chunk, carry)
-            out.append((part.source.iloc[0], int(number), entry))
-            step = int(np.searchsorted(part._upto.to_numpy(), entry, side="left"))
-            if step < len(part) and int(part._leaves.iloc[step]) > 0:
-                carry = int(part._leaves.iloc[step])
-        return pd.DataFrame(out, columns=["source", "_chunk", "_entry"])
-
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(int(t) for t in pdf._t)
-        anchors = _walk(times, int(pdf._entry.iloc[0]), (int(key[1]) + 1) * chunk, window)
-        return pd.DataFrame({"source": key[0], "_t": pd.Series(anchors, dtype="int64")})
+        numbers, first = np.unique(pdf._chunk.to_numpy(), return_index=True)
+        upto, leaves = pdf._upto.to_numpy(), pdf._leaves.to_numpy()
+        entries, carry = [], 0
+        for number, low, high in zip(numbers.tolist(), first, [*first[1:], len(pdf)]):
+            entry = max(number * chunk, carry)
+            entries.append(entry)
+            step = low + int(np.searchsorted(upto[low:high], entry, side="left"))
+            if step < high and leaves[step] > 0:
+                carry = int(leaves[step])
+        return pd.DataFrame({"source": pdf.source.iloc[0], "_chunk": numbers, "_entry": entries})
 
     entries = (
-        crowded.groupBy("source", "_chunk")
-        .applyInPandas(summarise, "source string, _chunk bigint, _upto bigint, _leaves bigint")
+        chunks.select("source", "_chunk", F.inline(summarise("_times", "_chunk")))
         .groupBy("source")
         .applyInPandas(compose, "source string, _chunk bigint, _entry bigint")
     )
-    walked = (
-        crowded.join(entries, ["source", "_chunk"])
-        .groupBy("source", "_chunk")
-        .applyInPandas(replay, "source string, _t bigint")
-    )
+    walked = chunks.join(entries, ["source", "_chunk"]).select("source", F.explode(replay("_times", "_entry", "_chunk")).alias("_t"))
     return judged.filter(~F.col("_crowded")).select("source", "_t").unionByName(walked)
 
 
