@@ -38,6 +38,26 @@ def brute_components(ids, prints):
     return [least[find(i)] for i in range(len(ids))]
 
 
+def brute_similar(rows):
+    """id -> least id of its group, over all pairs of texts."""
+    sets = {d: golay_dedup.shingle_set(t or "") for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(sets)
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in sets}
+
+
 def test_decoding_reaches_every_word():
     words = np.random.default_rng(1).integers(0, 1 << 23, 20_000).astype(np.uint32)
     index = golay_dedup.codeword_index(words)
@@ -96,6 +116,36 @@ def test_odd_rows(spark):
     named = {(r.doc_id, r.component_id) for r in got}
     assert {(5, 3), (3, 3), (9, 3), (1, 1), (2, 1), (None, 1)} <= named
     assert golay_dedup.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_similar_groups_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in golay_dedup.similar_groups(docs).collect()}
+    want = brute_similar([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(set(want.values())) < len(want) and got.keys() == want.keys()
+    assert sum(got[d] != want[d] for d in want) <= 0.01 * len(want)
+
+
+def test_large_keys_of_near_copies(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(4000)]
+    base = rng.sample(words, 200)
+    rows = []
+    for n in range(150):
+        own = list(base)
+        own[rng.randrange(200)] = rng.choice(words)
+        rows.append((n, " ".join(own)))
+    rows += [(200 + n, " ".join(base[::-1])) for n in range(60)] + [(300 + n, " ".join(rng.sample(words, 100))) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in golay_dedup.similar_groups(docs).collect()}
+    want = brute_similar(rows)
+    assert sum(got[d] != want[d] for d in want) <= 2 and got[200] == got[259] == 200 and got[310] == 310
+
+
+def test_keep_one(spark):
+    rows = [(5, None, 1), (3, "", 2), (1, "A b", 4), (2, "a  B\x0b", 5), (7, "é É", 6), (7, "x " * 50_000, 7), (None, "a b", 8), (None, "q", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
     kept = golay_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 7]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a b"), (1, "A b"), (3, ""), (7, "x " * 50_000)]
+    assert golay_dedup.keep_one(docs.limit(0)).collect() == []

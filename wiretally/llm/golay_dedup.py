@@ -155,10 +155,131 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---- near copies by similarity: several fingerprints as keys, exact verification --------
+
+SIMILARITY = 0.8
+SIMILAR_SHINGLE = 5
+#: Fingerprints per document, from as many seeds, over words of at least this many bytes. A pair of
+#: the least similarity shares a key of one fingerprint in about 65 of 100 cases, so of five nearly always.
+PRINTS = 5
+LEAST_WORD = 5
+#: Members of a key that are all compared; rounds in which larger keys are compared with one member only.
+ALL_PAIRS = 16
+ROUNDS = 3
+
+
+def _multi_print_rows(batches: Iterator[dict]) -> Iterator[dict]:
+    """Digest of the words and fingerprints of each text."""
+    import hashlib
+
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        digests, prints = [], []
+        for text in batch["text"]:
+            words = text.encode().lower().split()
+            digests.append(hashlib.sha256(b" ".join(words)).digest()[:16])
+            long = [w for w in words if len(w) >= LEAST_WORD] or words
+            row = []
+            for seed in range(PRINTS):
+                hashes = np.array([digest(w, seed) for w in long] or [0], np.uint64)
+                votes = np.zeros(64, np.int64)
+                for at in range(0, len(hashes), 1 << 16):
+                    part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+                    votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                row.append(int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0]))
+            prints.append(row)
+        yield {"doc_id": batch["doc_id"], "digest": digests, "prints": prints}
+
+
+def _multi_key_rows(batches: Iterator[dict]) -> Iterator[dict]:
+    for batch in batches:
+        ids, prints = np.array(batch["id"], np.int64), np.array(batch["prints"], np.int64).reshape(-1, PRINTS)
+        found_ids, found_keys = [], []
+        for n in range(PRINTS):
+            where, keys = fuzzy_keys(np.ascontiguousarray(prints[:, n]).view(np.uint64))
+            found_ids.append(ids[where])
+            found_keys.append(keys | n << 40)
+        yield {"key": np.concatenate(found_keys), "id": np.concatenate(found_ids)}
+
+
+def shingle_set(text: str, size: int = SIMILAR_SHINGLE) -> set[tuple[bytes, ...]]:
+    words = text.encode().lower().split()
+    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else {tuple(words)}
+
+
+def _similar_rows(batches: Iterator[dict]) -> Iterator[dict]:
+    for batch in batches:
+        kept_a, kept_b, last, own = [], [], None, set()
+        for a, b, left, right in zip(batch["a"], batch["b"], batch["left"], batch["right"]):
+            if a != last:
+                last, own = a, shingle_set(left)
+            other = shingle_set(right)
+            both = len(own & other)
+            if both >= SIMILARITY * (len(own) + len(other) - both) - 1e-9:
+                kept_a.append(a)
+                kept_b.append(b)
+        yield {"a": kept_a, "b": kept_b}
+
+
+def _pairs_of_keys(shared: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) to compare: all of small keys, of larger ones those with the least member (or all, if ``whole``)."""
+    groups = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
+    members = shared.join(groups, "key")
+    small = members if whole else members.where(F.col("n") <= ALL_PAIRS)
+    every = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b")
+    pairs = every.select("a", "b")
+    if not whole:
+        stars = members.where((F.col("n") > ALL_PAIRS) & (F.col("id") != F.col("centre")))
+        pairs = pairs.union(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    return pairs.distinct()
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of texts linked by five-word shingles with a similarity of at least 0.8.
+
+    Texts with the same words in the same order meet first, whatever their number, and are
+    represented by their least id. Candidates share a Golay key of one of several SimHashes of the
+    longer words; links are verified on whole texts. In a key with many members each is compared
+    with the least one; members that match nobody then meet again without it, and after some
+    rounds those left over are compared with each other. Rows that share an id are one document
+    here; null ids get no group.
+    """
+    texts = texts_of(docs).where("doc_id IS NOT NULL")
+    found = materialise(map_rows(texts, _multi_print_rows, "doc_id long, digest binary, prints array<long>"), "word-simhashes")
+    classes = found.groupBy("digest").agg(F.min(F.struct("doc_id", "prints")).alias("first"))
+    classes = materialise(classes.select("digest", F.col("first.doc_id").alias("id"), F.col("first.prints").alias("prints")), "word-classes")
+    keys = materialise(map_rows(classes.select("id", "prints"), _multi_key_rows, "key long, id long"), "word-keys")
+    often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = materialise(keys.join(often, "key", "left_semi"), "shared-word-keys")
+    candidates = shared.select(F.col("id").alias("doc_id")).distinct().hint("merge")  # one plan at every size
+    bodies = texts.join(candidates, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    bodies = materialise(bodies, "candidate-texts")
+    links = None
+    for n in range(ROUNDS + 1):
+        pairs = materialise(_pairs_of_keys(shared, n == ROUNDS), "candidate-pairs")
+        if not pairs.take(1):
+            break
+        left = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
+        both = left.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+        good = materialise(map_rows(both.select("a", "b", "left", "right"), _similar_rows, "a long, b long"), "similar-pairs")
+        links = good if links is None else links.union(good)
+        sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where(F.col("n") > ALL_PAIRS)
+        rest = shared.join(sizes, "key").where("id <> centre").select("key", "id")
+        shared = materialise(rest.join(good.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("key", "id"), "unmatched-keys")
+    named = classes.select("digest", "id")
+    if links is not None:
+        named = named.join(components(links), F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("id"))
+    return found.select("doc_id", "digest").join(named, "digest").select("doc_id", F.col("id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates: the document with the smallest id of each component; of equal ids, the least text."""
-    groups = near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    """``docs`` without near copies: the document with the smallest id of each group of :func:`similar_groups`.
+
+    Rows with one id count as one document, the one with the least text; so do rows without an id.
+    """
+    others = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    kept = docs.join(others.hint("merge"), "doc_id", "left_anti").withColumn("__rank", rank).where("__rank = 1")
+    return kept.select(*docs.columns)

@@ -103,7 +103,7 @@ def _ranges(docs: DataFrame) -> list[int]:
     """Rising ids that cut the table into ranges of about equal size."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION
     found = docs.select("doc_id").na.drop().approxQuantile("doc_id", [n / parts for n in range(1, parts)], 1 / (2 * parts))
-    return sorted({int(x) for x in found})
+    return sorted({max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in found})
 
 
 def _range_of(ids: Column, bounds: list[int]) -> Column:
