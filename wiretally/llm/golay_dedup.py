@@ -163,9 +163,9 @@ SIMILAR_SHINGLE = 5
 #: the least similarity shares a key of one fingerprint in about 65 of 100 cases, so of five nearly always.
 PRINTS = 5
 LEAST_WORD = 5
-#: Members of a key that are all compared; rounds in which larger keys are compared with one member only.
+#: Members of a key that are all compared; rounds, at most, in which those of larger keys meet their most central member.
 ALL_PAIRS = 16
-ROUNDS = 3
+ROUNDS = 6
 
 
 def _multi_print_rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -196,12 +196,13 @@ def _multi_print_rows(batches: Iterator[dict]) -> Iterator[dict]:
 def _multi_key_rows(batches: Iterator[dict]) -> Iterator[dict]:
     for batch in batches:
         ids, prints = np.array(batch["id"], np.int64), np.array(batch["prints"], np.int64).reshape(-1, PRINTS)
-        found_ids, found_keys = [], []
+        found_ids, found_keys, own = [], [], []
         for n in range(PRINTS):
             where, keys = fuzzy_keys(np.ascontiguousarray(prints[:, n]).view(np.uint64))
             found_ids.append(ids[where])
             found_keys.append(keys | n << 40)
-        yield {"key": np.concatenate(found_keys), "id": np.concatenate(found_ids)}
+            own.append(prints[where, n])
+        yield {"key": np.concatenate(found_keys), "id": np.concatenate(found_ids), "print": np.concatenate(own)}
 
 
 def shingle_set(text: str, size: int = SIMILAR_SHINGLE) -> set[tuple[bytes, ...]]:
@@ -223,17 +224,37 @@ def _similar_rows(batches: Iterator[dict]) -> Iterator[dict]:
         yield {"a": kept_a, "b": kept_b}
 
 
-def _pairs_of_keys(shared: DataFrame, whole: bool) -> DataFrame:
-    """Pairs (a, b) to compare: all of small keys, of larger ones those with the least member (or all, if ``whole``)."""
-    groups = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
-    members = shared.join(groups, "key")
-    small = members if whole else members.where(F.col("n") <= ALL_PAIRS)
+def _central(members: DataFrame) -> DataFrame:
+    """(key, centre): the member nearest to what most fingerprints of the key say, bit by bit.
+
+    Of copies that were each changed a little, it is the original if that is among them.
+    """
+    both = F.lit((1 << 32) | 1)  # two bits are counted in one long
+    sums = [F.sum(F.shiftrightunsigned("print", n).bitwiseAND(both)).alias(f"v{n}") for n in range(32)]
+    votes = members.groupBy("key").agg(F.count("*").alias("size"), *sums)
+    most = F.lit(0).cast("long")
+    for n in range(32):
+        low = (F.col(f"v{n}").bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("size")).cast("long")
+        high = (F.shiftrightunsigned(f"v{n}", 32) * 2 > F.col("size")).cast("long")
+        most = most.bitwiseOR(F.shiftleft(low, n)).bitwiseOR(F.shiftleft(high, n + 32))
+    away = F.bit_count(F.col("print").bitwiseXOR(F.col("most")))
+    near = members.join(votes.select("key", most.alias("most")), "key").groupBy("key").agg(F.min(F.struct(away, "id")).alias("best"))
+    return near.select("key", F.col("best.id").alias("centre"))
+
+
+def _pairs_of_keys(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare, and the members of large keys with their key's centre.
+
+    All members of small keys meet each other, those of a large one its most central member.
+    """
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = shared.join(sizes, "key")
+    small = members.where(F.col("n") <= ALL_PAIRS)
     every = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b")
-    pairs = every.select("a", "b")
-    if not whole:
-        stars = members.where((F.col("n") > ALL_PAIRS) & (F.col("id") != F.col("centre")))
-        pairs = pairs.union(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    return pairs.distinct()
+    large = members.where(F.col("n") > ALL_PAIRS).select("key", "id", "print")
+    large = materialise(large.join(_central(large), "key").where("id <> centre"), "large-keys")
+    stars = large.select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    return every.select("a", "b").union(stars).distinct(), large
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -242,32 +263,33 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     Texts with the same words in the same order meet first, whatever their number, and are
     represented by their least id. Candidates share a Golay key of one of several SimHashes of the
     longer words; links are verified on whole texts. In a key with many members each is compared
-    with the least one; members that match nobody then meet again without it, and after some
-    rounds those left over are compared with each other. Rows that share an id are one document
-    here; null ids get no group.
+    with the most central one; members that match nobody then meet again without it, until a round
+    finds nothing or ``ROUNDS`` are over. Two members of large keys that are unlike every centre they
+    met, yet like each other, stay apart: comparing all of them would be quadratic. Rows that
+    share an id are one document here; null ids get no group.
     """
     texts = texts_of(docs).where("doc_id IS NOT NULL")
     found = materialise(map_rows(texts, _multi_print_rows, "doc_id long, digest binary, prints array<long>"), "word-simhashes")
     classes = found.groupBy("digest").agg(F.min(F.struct("doc_id", "prints")).alias("first"))
     classes = materialise(classes.select("digest", F.col("first.doc_id").alias("id"), F.col("first.prints").alias("prints")), "word-classes")
-    keys = materialise(map_rows(classes.select("id", "prints"), _multi_key_rows, "key long, id long"), "word-keys")
+    keys = materialise(map_rows(classes.select("id", "prints"), _multi_key_rows, "key long, id long, print long"), "word-keys")
     often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = materialise(keys.join(often, "key", "left_semi"), "shared-word-keys")
     candidates = shared.select(F.col("id").alias("doc_id")).distinct().hint("merge")  # one plan at every size
     bodies = texts.join(candidates, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     bodies = materialise(bodies, "candidate-texts")
     links = None
-    for n in range(ROUNDS + 1):
-        pairs = materialise(_pairs_of_keys(shared, n == ROUNDS), "candidate-pairs")
-        if not pairs.take(1):
-            break
+    for _ in range(ROUNDS):
+        pairs, large = _pairs_of_keys(shared)
+        pairs = materialise(pairs, "candidate-pairs")
         left = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
         both = left.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
         good = materialise(map_rows(both.select("a", "b", "left", "right"), _similar_rows, "a long, b long"), "similar-pairs")
         links = good if links is None else links.union(good)
-        sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where(F.col("n") > ALL_PAIRS)
-        rest = shared.join(sizes, "key").where("id <> centre").select("key", "id")
-        shared = materialise(rest.join(good.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("key", "id"), "unmatched-keys")
+        met = good.select(F.col("b").alias("id")).union(good.select(F.col("a").alias("id"))).distinct()
+        shared = materialise(large.join(met, "id", "left_anti").select("key", "id", "print"), "unmatched-keys")
+        if not good.take(1) or not shared.take(1):
+            break
     named = classes.select("digest", "id")
     if links is not None:
         named = named.join(components(links), F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("id"))
