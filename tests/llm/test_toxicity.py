@@ -59,7 +59,9 @@ def test_viterbi_is_exact():
 
 
 def test_odd_rows(spark):
-    docs = [(n, f"word{n % 7} calm text number " + ("you l0ser go" if n % 5 == 0 else "fine"), "x") for n in range(200)]
+    rng = random.Random(7)
+    words = lambda: " ".join("".join(rng.choice("aeioubdfgmn") for _ in range(5)) for _ in range(30))
+    docs = [(n, words() + (" you l0ser go" if n % 5 == 0 else " fine"), "x") for n in range(200)]
     docs += [(900, None, "x"), (901, "", "x"), (None, "a loser", "x"), (902, "pad " * 200_000 + "loser", "x"), (902, "calm", "x")]
     labels = [(n, 1, int(n % 5 == 0)) for n in range(200)] + [(3, None, None), (None, 1, 1)]
     frames = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from wiretally.llm.common import fold, map_rows
 from wiretally.llm.language_id import LETTERS, letter_table
+from wiretally.session import materialise
 
 #: Labelled rows that are learned from: at most this many, those with the least hashes of their ids.
 SAMPLE = 60_000
@@ -28,7 +29,10 @@ LEAST_BOUND = 0.45
 BEGINNINGS = (4, 5, 6)
 #: Toxic training documents that a feature needs, and standard errors below its share that count.
 LEAST_TOXIC = 4
-ERRORS = 2.0
+ERRORS = 2.5
+#: Rounds in which features are dropped that mostly decide wrongly, and the share of right decisions that keeps one.
+ROUNDS = 3
+LEAST_RIGHT = 0.5
 #: Share of the base rate that a text without any feature scores.
 BASE = 0.25
 THRESHOLD = 0.3
@@ -43,7 +47,7 @@ HELD = 500_000
 WORDS = re.compile(r"[^\W\d_]+")
 SIGNS = re.compile(r"[0134570@$!|]")
 SIGNED = re.compile(r"(?<![^\W_])[^\W\d_]*[013457@$!|]+(?:[^\W_]|[@$!|])*")
-STRETCHED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+STRETCHED = re.compile(r"([^\W\d_])\1\1")
 APART = re.compile(r"(?<!\w)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\w)")
 
 
@@ -95,12 +99,19 @@ def disguised(lower: str) -> Iterator[str]:
     if SIGNS.search(lower):
         for m in SIGNED.finditer(lower):
             core = re.sub(r"([$@!|])\1\1+$|[!|]+$", "", m[0].lstrip("!|"))
-            if 3 <= len(core) <= LONGEST and not core.isalpha() and sum(c.isalpha() for c in core) * 2 >= len(core):
+            if 3 <= len(core) <= LONGEST and not core.isalpha() and sum(c.isalpha() for c in core) * 3 >= len(core):
                 if all(c.isalpha() or c in LOOKALIKES for c in core):
                     yield core
+    end = 0
     for m in STRETCHED.finditer(lower):
-        if len(m[0]) <= LONGEST:
-            yield m[0]
+        if m.start() >= end:
+            start, end = m.span()
+            while start and lower[start - 1].isalpha():
+                start -= 1
+            while end < len(lower) and lower[end].isalpha():
+                end += 1
+            if end - start <= LONGEST:
+                yield lower[start:end]
     for m in APART.finditer(lower):
         yield m[0]
 
@@ -176,7 +187,8 @@ def sample_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def train_features(docs: DataFrame, labels: DataFrame, letters, sample: int = SAMPLE):
     """Broadcast (weights of features, score without any) learned from the sampled labels."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    labelled = rows.join(F.broadcast(sample_labels(docs, labels, sample)), "doc_id").select("text", "toxic")
+    sampled = materialise(sample_labels(docs, labels, sample), "toxic-sample")
+    labelled = rows.join(F.broadcast(sampled), "doc_id").select("text", "toxic")
 
     def count(batches):
         held: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -186,7 +198,7 @@ def train_features(docs: DataFrame, labels: DataFrame, letters, sample: int = SA
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                for feature in [*features(restored_words(text, letters.value)), ""]:
+                for feature in features(restored_words(text, letters.value)):
                     pair = held[feature]
                     pair[0] += toxic == 1
                     pair[1] += 1
@@ -200,13 +212,46 @@ def train_features(docs: DataFrame, labels: DataFrame, letters, sample: int = SA
     z2 = ERRORS**2
     bound = (share + z2 / (2 * F.col("n")) - ERRORS * F.sqrt(share * (1 - share) / F.col("n") + z2 / (4 * F.col("n") ** 2))) / (1 + z2 / F.col("n"))
     counted = counted.withColumn("bound", bound)
-    best = counted.where((F.col("feature") != "") & (F.col("toxic") >= LEAST_TOXIC) & (F.col("bound") >= LEAST_BOUND))
-    found = best.orderBy(F.desc("bound"), "feature").limit(FEATURES).union(counted.where("feature = ''")).collect()
-    weights = {r["feature"]: float(r["bound"]) for r in found if r["feature"]}
-    base = next((r["toxic"] / r["n"] for r in found if not r["feature"]), 0.0)
+    best = counted.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("bound") >= LEAST_BOUND))
+    found = best.orderBy(F.desc("bound"), "feature").limit(FEATURES).collect()
+    weights = {r["feature"]: float(r["bound"]) for r in found}
+    base = sampled.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    weights = _without_followers(labelled, letters, weights)
     return docs.sparkSession.sparkContext.broadcast((weights, min(BASE * base, THRESHOLD / 2)))
 
 
+def _without_followers(labelled: DataFrame, letters, weights: dict[str, float]) -> dict[str, float]:
+    """Drop features that owe their share to stronger ones in the same documents.
+
+    A beginning that toxic words share with harmless ones looks toxic as long as the toxic words
+    themselves count for it. Each training document is decided by its strongest feature; one
+    that mostly decides wrongly goes, and the rest decide anew.
+    """
+
+    def keep(batches):
+        for batch in batches:
+            found = [sorted(features(restored_words(t, letters.value)) & weights.keys()) for t in batch["text"]]
+            yield {"toxic": batch["toxic"], "found": found}
+
+    known = materialise(map_rows(labelled, keep, "toxic int, found array<string>").where(F.size("found") > 0), "toxic-features")
+    for _ in range(ROUNDS):
+        held = dict(weights)
+
+        def decide(batches, held=held):
+            for batch in batches:
+                best = [max((f for f in found if f in held), key=lambda f: (held[f], f), default="") for found in batch["found"]]
+                yield {"toxic": batch["toxic"], "feature": best}
+
+        decided = map_rows(known, decide, "toxic int, feature string").groupBy("feature").agg(
+            F.avg((F.col("toxic") == 1).cast("int")).alias("right")
+        )
+        wrong = {r["feature"] for r in decided.where(F.col("right") < LEAST_RIGHT).collect()}
+        if not wrong & weights.keys():
+            break
+        weights = {f: w for f, w in weights.items() if f not in wrong}
+    return weights
+
+
 def score(docs: DataFrame, letters, model) -> DataFrame:
     """``doc_id``, ``score`` and ``n_features`` of every row; a text without any known word gets the base score."""
 
