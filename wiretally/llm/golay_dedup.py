@@ -155,59 +155,90 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- near copies by similarity: several fingerprints as keys, exact verification --------
+# ---- near copies by similarity: prefixes of ordered shingles as keys, exact verification --------
 
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
-#: Fingerprints per document, from as many seeds, over words of at least this many bytes. A pair of
-#: the least similarity shares a key of one fingerprint in about 65 of 100 cases, so of five nearly always.
-PRINTS = 5
-LEAST_WORD = 5
-#: Members of a key that are all compared; rounds, at most, in which those of larger keys meet their most central member.
+#: Members of a key that are all compared; those of larger keys meet a central member first.
 ALL_PAIRS = 16
-ROUNDS = 6
+#: Documents (about) whose shingles are counted to put frequent ones last, the least count of a frequent one, and
+#: how many are held. They set the order of shingles only: any order finds all pairs, a good one has small keys.
+ORDER_SAMPLE = 50_000
+FREQUENT = 8
+HELD_FREQUENT = 1 << 18
 
 
-def _multi_print_rows(batches: Iterator[dict]) -> Iterator[dict]:
-    """Digest of the words and fingerprints of each text."""
-    import hashlib
+def shingle_set(text: str, size: int = SIMILAR_SHINGLE) -> set[tuple[bytes, ...]]:
+    words = text.encode().lower().split()
+    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else {tuple(words)}
+
 
+def shingle_hashes(text: str, size: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of :func:`shingle_set`."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
+    words = text.encode().lower().split()
+    if len(words) < size:
+        return np.array([digest(b" ".join(words), len(words) + 1)], np.uint64)
+    own = np.array([digest(w) for w in words], np.uint64)
+    hashes = np.zeros(len(words) - size + 1, np.uint64)
+    for n in range(size):
+        hashes = (hashes ^ own[n : n + len(hashes)]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return np.unique(hashes)
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a document: frequent ones come last, then the hash decides.
+
+    Two sets whose similarity is 0.8 share at least 0.8 of the larger one; where all sets are ordered
+    alike, the least shared element lies within the first n - ceil(0.8 n) + 1 elements of both.
+    """
+    n = len(hashes)
+    often = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+
+
+def _shingle_rows(batches: Iterator[dict]) -> Iterator[dict]:
     for batch in batches:
-        digests, prints = [], []
         for text in batch["text"]:
-            words = text.encode().lower().split()
-            digests.append(hashlib.sha256(b" ".join(words)).digest()[:16])
-            long = [w for w in words if len(w) >= LEAST_WORD] or words
-            row = []
-            for seed in range(PRINTS):
-                hashes = np.array([digest(w, seed) for w in long] or [0], np.uint64)
-                votes = np.zeros(64, np.int64)
-                for at in range(0, len(hashes), 1 << 16):
-                    part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-                    votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                row.append(int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0]))
-            prints.append(row)
-        yield {"doc_id": batch["doc_id"], "digest": digests, "prints": prints}
-
-
-def _multi_key_rows(batches: Iterator[dict]) -> Iterator[dict]:
-    for batch in batches:
-        ids, prints = np.array(batch["id"], np.int64), np.array(batch["prints"], np.int64).reshape(-1, PRINTS)
-        found_ids, found_keys, own = [], [], []
-        for n in range(PRINTS):
-            where, keys = fuzzy_keys(np.ascontiguousarray(prints[:, n]).view(np.uint64))
-            found_ids.append(ids[where])
-            found_keys.append(keys | n << 40)
-            own.append(prints[where, n])
-        yield {"key": np.concatenate(found_keys), "id": np.concatenate(found_ids), "print": np.concatenate(own)}
+            yield {"key": shingle_hashes(text).view(np.int64)}
 
 
-def shingle_set(text: str, size: int = SIMILAR_SHINGLE) -> set[tuple[bytes, ...]]:
-    words = text.encode().lower().split()
-    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else {tuple(words)}
+def _frequent(texts: DataFrame):
+    """Broadcast (hashes, counts) of the most frequent shingles of a sample of the documents."""
+    share = min(1.0, ORDER_SAMPLE / max(texts.count(), 1))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("text")
+    counted = map_rows(some, _shingle_rows, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = counted.orderBy(F.desc("n"), "key").limit(HELD_FREQUENT).toPandas()
+    hashes, counts = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return texts.sparkSession.sparkContext.broadcast((hashes[order], counts[order]))
+
+
+def _prefix_rows(frequent):
+    """Digest of the words, fingerprint, number of shingles and prefix of each text."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        import hashlib
+
+        for batch in batches:
+            out = {"id": batch["id"], "digest": [], "print": [], "size": [], "keys": []}
+            for text in batch["text"]:
+                hashes = shingle_hashes(text)
+                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                votes = bits.sum(axis=0, dtype=np.int64)
+                out["digest"].append(hashlib.sha256(b" ".join(text.encode().lower().split())).digest()[:16])
+                out["print"].append(int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0]))
+                out["size"].append(len(hashes))
+                out["keys"].append(prefix(hashes, *frequent.value).view(np.int64))
+            yield out
+
+    return rows
 
 
 def _similar_rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -242,58 +273,65 @@ def _central(members: DataFrame) -> DataFrame:
     return near.select("key", F.col("best.id").alias("centre"))
 
 
-def _pairs_of_keys(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare, and the members of large keys with their key's centre.
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose texts are similar."""
+    pairs = materialise(pairs.distinct(), "candidate-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().hint("merge")
+    bodies = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    bodies = materialise(bodies, "candidate-texts")
+    left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+    both = left.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    return materialise(map_rows(both.select("a", "b", "left", "right"), _similar_rows, "a long, b long"), "similar-pairs")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with the ``root`` of their ``id``."""
+    return nodes.join(components(links), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+
 
-    All members of small keys meet each other, those of a large one its most central member.
+def _grouped(texts: DataFrame) -> DataFrame:
+    """(id, root) of ``texts`` (id, text), linked by five-word shingles with a similarity of at least 0.8.
+
+    Texts with the same words in the same order meet first, whatever their number, and are
+    represented by their least id. All similar pairs share a key (see :func:`prefix`); links are
+    verified on whole texts. The members of a large key meet its central member first; then all
+    pairs of the key that are not connected by then are compared, so no link is missed.
     """
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = shared.join(sizes, "key")
-    small = members.where(F.col("n") <= ALL_PAIRS)
-    every = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b")
-    large = members.where(F.col("n") > ALL_PAIRS).select("key", "id", "print")
-    large = materialise(large.join(_central(large), "key").where("id <> centre"), "large-keys")
-    stars = large.select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    return every.select("a", "b").union(stars).distinct(), large
+    found = materialise(
+        map_rows(texts, _prefix_rows(_frequent(texts)), "id long, digest binary, print long, size int, keys array<long>"), "prefixes"
+    )
+    classes = materialise(found.groupBy("digest").agg(F.min("id").alias("id")), "word-classes")
+    ones = found.groupBy("id").agg(F.min(F.struct("digest", "print", "size", "keys")).alias("one")).select("id", "one.*")
+    ones = materialise(ones.join(classes.select("id").distinct(), "id", "left_semi").drop("digest"), "class-prefixes")
+    keys = ones.select("id", "print", "size", F.explode("keys").alias("key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
+    counts = materialise(counts, "prefix-counts")
+    shared = materialise(keys.join(counts.where("n > 2").select("key", "n"), "key"), "shared-prefixes")
+    sets = shared.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    firsts = sets.select("ids", F.posexplode("ids").alias("at", "a"))
+    every = firsts.select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
+    large = shared.where(F.col("n") > ALL_PAIRS)
+    own = large.groupBy("id").agg(F.max(F.struct("n", "key")).alias("most")).select("id", F.col("most.key").alias("key"))
+    stars = own.join(_central(large), "key").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    links = _verified(counts.where("n = 2").select("a", "b").union(every).union(stars), texts)
+    rooted = materialise(_rooted(large.select("key", "id", "size"), links), "large-keys")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    apart = materialise(rooted.join(mixed, "key", "left_semi"), "mixed-keys")
+    other = apart.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    fits = (F.col("size") >= SIMILARITY * F.col("size_b") - 1e-6) & (F.col("size_b") >= SIMILARITY * F.col("size") - 1e-6)
+    rest = apart.withColumnRenamed("id", "a").join(other, "key").where((F.col("root") < F.col("root_b")) & fits)
+    links = links.union(_verified(rest.select("a", "b"), texts))
+    named = _rooted(classes, links)
+    return found.select("id", "digest").join(named.select("digest", "root"), "digest").select("id", "root")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of texts linked by five-word shingles with a similarity of at least 0.8.
 
-    Texts with the same words in the same order meet first, whatever their number, and are
-    represented by their least id. Candidates share a Golay key of one of several SimHashes of the
-    longer words; links are verified on whole texts. In a key with many members each is compared
-    with the most central one; members that match nobody then meet again without it, until a round
-    finds nothing or ``ROUNDS`` are over. Two members of large keys that are unlike every centre they
-    met, yet like each other, stay apart: comparing all of them would be quadratic. Rows that
-    share an id are one document here; null ids get no group.
+    Rows that share an id are one document here; null ids get no group.
     """
-    texts = texts_of(docs).where("doc_id IS NOT NULL")
-    found = materialise(map_rows(texts, _multi_print_rows, "doc_id long, digest binary, prints array<long>"), "word-simhashes")
-    classes = found.groupBy("digest").agg(F.min(F.struct("doc_id", "prints")).alias("first"))
-    classes = materialise(classes.select("digest", F.col("first.doc_id").alias("id"), F.col("first.prints").alias("prints")), "word-classes")
-    keys = materialise(map_rows(classes.select("id", "prints"), _multi_key_rows, "key long, id long, print long"), "word-keys")
-    often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = materialise(keys.join(often, "key", "left_semi"), "shared-word-keys")
-    candidates = shared.select(F.col("id").alias("doc_id")).distinct().hint("merge")  # one plan at every size
-    bodies = texts.join(candidates, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    bodies = materialise(bodies, "candidate-texts")
-    links = None
-    for _ in range(ROUNDS):
-        pairs, large = _pairs_of_keys(shared)
-        pairs = materialise(pairs, "candidate-pairs")
-        left = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-        both = left.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-        good = materialise(map_rows(both.select("a", "b", "left", "right"), _similar_rows, "a long, b long"), "similar-pairs")
-        links = good if links is None else links.union(good)
-        met = good.select(F.col("b").alias("id")).union(good.select(F.col("a").alias("id"))).distinct()
-        shared = materialise(large.join(met, "id", "left_anti").select("key", "id", "print"), "unmatched-keys")
-        if not good.take(1) or not shared.take(1):
-            break
-    named = classes.select("digest", "id")
-    if links is not None:
-        named = named.join(components(links), F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("id"))
-    return found.select("doc_id", "digest").join(named, "digest").select("doc_id", F.col("id").alias("component_id"))
+    texts = texts_of(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
+    return _grouped(texts).select(F.col("id").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
