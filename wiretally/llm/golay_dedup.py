@@ -343,3 +343,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = docs.join(others.hint("merge"), "doc_id", "left_anti").withColumn("__rank", rank).where("__rank = 1")
     return kept.select(*docs.columns)
+
+
+def keep_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies, whatever the rows' ids: the least id, null ids last.
+
+    A row is known by 128 bits of hashes of all its columns and of which are null; of rows that
+    are equal in all columns, which are copies, one stays. Groups are those of texts only, so rows
+    without an id or with an id in common are kept where their texts differ.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    flags = [c.isNull() for c in columns]
+    marks = [F.xxhash64(F.lit(n), *columns, *flags).alias(f"__mark{n}") for n in (1, 2)]
+    marked = docs.select("*", *marks)
+    texts = marked.select(F.col("__mark1").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = materialise(marked.select("doc_id", "__mark1", "__mark2"), "row-marks")
+    joined = named.join(_grouped(texts).distinct(), F.col("__mark1") == F.col("id"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__mark1", "__mark2")).alias("best")
+    kept = joined.groupBy("root").agg(best).select("best.__mark1", "best.__mark2").distinct()
+    rank = F.row_number().over(Window.partitionBy("__mark1", "__mark2").orderBy("doc_id"))
+    once = marked.withColumn("__rank", rank).where("__rank = 1")
+    return once.join(kept.hint("merge"), ["__mark1", "__mark2"], "left_semi").select(*docs.columns)
