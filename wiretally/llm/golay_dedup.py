@@ -163,8 +163,8 @@ SIMILAR_SHINGLE = 5
 ALL_PAIRS = 16
 #: Documents (about) whose shingles are counted to put frequent ones last, the least count of a frequent one, and
 #: how many are held. They set the order of shingles only: any order finds all pairs, a good one has small keys.
-ORDER_SAMPLE = 50_000
-FREQUENT = 8
+ORDER_SAMPLE = 10_000
+FREQUENT = 4
 HELD_FREQUENT = 1 << 18
 
 
@@ -189,6 +189,13 @@ def shingle_hashes(text: str, size: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(hashes)
 
 
+def often(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return np.where(frequent[at] == hashes, counts[at], 0)
+
+
 def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a document: frequent ones come last, then the hash decides.
 
@@ -196,11 +203,7 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.n
     alike, the least shared element lies within the first n - ceil(0.8 n) + 1 elements of both.
     """
     n = len(hashes)
-    often = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        often = np.where(frequent[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, often))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+    return hashes[np.lexsort((hashes, often(hashes, frequent, counts)))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
 
 
 def _shingle_rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -273,12 +276,45 @@ def _central(members: DataFrame) -> DataFrame:
     return near.select("key", F.col("best.id").alias("centre"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _possible_rows(frequent):
+    """Pairs that may be similar: what one prefix lacks of the other, up to where both reach, is in one text only."""
+
+    def lacks(own: np.ndarray, other: np.ndarray) -> int:
+        counts, last = often(own, *frequent.value), int(often(other[-1:], *frequent.value)[0])
+        reached = (counts < last) | (counts == last) & (own <= other[-1])
+        return int((reached & ~np.isin(own, other)).sum())
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            kept = []
+            for k, (n, m) in enumerate(zip(batch["size_a"], batch["size_b"])):
+                a, b = (np.array(batch[c][k], np.int64).view(np.uint64) for c in ("keys_a", "keys_b"))
+                if min(n - lacks(a, b), m - lacks(b, a)) >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6:
+                    kept.append(k)
+            yield {c: [batch[c][k] for k in kept] for c in ("a", "b")}
+
+    return rows
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, frequent) -> DataFrame:
+    """The pairs without those whose sizes and prefixes rule out similarity; a pair whose id has several texts stays."""
+    one = classes.groupBy("id").agg(F.count("*").alias("texts"), F.min(F.struct("size", "keys")).alias("first"))
+    one = one.select("id", "texts", "first.*")
+    left = pairs.join(one.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("texts", "size", "keys"))), "a")
+    both = left.join(one.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("texts", "size", "keys"))), "b")
+    both = materialise(both, "pairs-with-prefixes")
+    single = (F.col("texts_a") == 1) & (F.col("texts_b") == 1)
+    some = map_rows(both.where(single).select("a", "b", "size_a", "size_b", "keys_a", "keys_b"), _possible_rows(frequent), "a long, b long")
+    return materialise(some.union(both.where(~single).select("a", "b")), "possible-pairs")
+
+
+def _bodies(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    chosen = texts.join(ids.distinct().hint("merge"), "id", "left_semi")  # one plan at every size
+    return materialise(chosen.groupBy("id").agg(F.min("text").alias("text")), "candidate-texts")
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose texts are similar."""
-    pairs = materialise(pairs.distinct(), "candidate-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().hint("merge")
-    bodies = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    bodies = materialise(bodies, "candidate-texts")
     left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
     return materialise(map_rows(both.select("a", "b", "left", "right"), _similar_rows, "a long, b long"), "similar-pairs")
@@ -297,31 +333,38 @@ def _grouped(texts: DataFrame) -> DataFrame:
     verified on whole texts. The members of a large key meet its central member first; then all
     pairs of the key that are not connected by then are compared, so no link is missed.
     """
+    frequent = _frequent(texts)
     found = materialise(
-        map_rows(texts, _prefix_rows(_frequent(texts)), "id long, digest binary, print long, size int, keys array<long>"), "prefixes"
+        map_rows(texts, _prefix_rows(frequent), "id long, digest binary, print long, size int, keys array<long>"), "prefixes"
     )
-    classes = materialise(found.groupBy("digest").agg(F.min("id").alias("id")), "word-classes")
-    ones = found.groupBy("id").agg(F.min(F.struct("digest", "print", "size", "keys")).alias("one")).select("id", "one.*")
-    ones = materialise(ones.join(classes.select("id").distinct(), "id", "left_semi").drop("digest"), "class-prefixes")
-    keys = ones.select("id", "print", "size", F.explode("keys").alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
+    first = F.min(F.struct("id", "print", "size", "keys")).alias("first")
+    classes = materialise(found.groupBy("digest").agg(first).select("digest", "first.*"), "word-classes")
+    keys = classes.select("id", F.explode("keys").alias("key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     counts = materialise(counts, "prefix-counts")
     shared = materialise(keys.join(counts.where("n > 2").select("key", "n"), "key"), "shared-prefixes")
-    sets = shared.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    sets = shared.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
     firsts = sets.select("ids", F.posexplode("ids").alias("at", "a"))
     every = firsts.select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-    large = shared.where(F.col("n") > ALL_PAIRS)
+    known = classes.groupBy("id").agg(F.min("print").alias("print"), F.max("size").alias("size"))
+    large = materialise(shared.where(F.col("n") > ALL_PAIRS).join(known, "id"), "large-prefixes")
     own = large.groupBy("id").agg(F.max(F.struct("n", "key")).alias("most")).select("id", F.col("most.key").alias("key"))
     stars = own.join(_central(large), "key").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    links = _verified(counts.where("n = 2").select("a", "b").union(every).union(stars), texts)
+    pairs = materialise(counts.where("n = 2").select("a", "b").union(every).union(stars).distinct(), "candidate-pairs")
+    pairs = _possible(pairs, classes, frequent)
+    bodies = _bodies(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")), texts)
+    links = _verified(pairs, bodies)
     rooted = materialise(_rooted(large.select("key", "id", "size"), links), "large-keys")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     apart = materialise(rooted.join(mixed, "key", "left_semi"), "mixed-keys")
     other = apart.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
     fits = (F.col("size") >= SIMILARITY * F.col("size_b") - 1e-6) & (F.col("size_b") >= SIMILARITY * F.col("size") - 1e-6)
     rest = apart.withColumnRenamed("id", "a").join(other, "key").where((F.col("root") < F.col("root_b")) & fits)
-    links = links.union(_verified(rest.select("a", "b"), texts))
-    named = _rooted(classes, links)
+    rest = materialise(rest.select("a", "b").distinct(), "remaining-pairs")
+    if rest.take(1):
+        rest = _possible(rest, classes, frequent)
+        links = links.union(_verified(rest, bodies))
+    named = _rooted(classes.select("digest", "id"), links)
     return found.select("id", "digest").join(named.select("digest", "root"), "digest").select("id", "root")
 
 
