@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from wiretally.llm.common import fold, map_rows
 from wiretally.session import materialise
 
-#: Letters are 0 (between words), 26 Latin ones, 31 accented ones and hashed rest; triples of them are the dimensions.
+#: Classes of :func:`letter_table`: 0 (between words), 26 Latin letters, 31 accented ones and hashed rest.
 LETTERS = 64
-DIMENSIONS = LETTERS**3
+#: Triples of lower-case code points are hashed to so many dimensions.
+DIMENSIONS = 1 << 20
 CENTROIDS = 4
 ROUNDS = 8
 #: Training texts of a language that are clustered: at most this many, those with the least hashes of their ids.
@@ -48,21 +49,34 @@ def letter_table() -> np.ndarray:
     return table
 
 
+def point_table() -> np.ndarray:
+    """Lower-case code point of each letter below 65,536; 0 for what is no letter."""
+    table = np.zeros(1 << 16, np.uint64)
+    for code in range(1 << 16):
+        letter = chr(code)
+        if letter.isalpha():
+            low = letter.lower()
+            table[code] = ord(low) if len(low) == 1 else code
+    return table
+
+
 _TABLE: list[np.ndarray] = []
 
 
 def triples(text: str) -> np.ndarray:
-    """Codes of all letter triples that hold a letter in the middle."""
+    """Hashed codes of all letter triples that hold a letter in the middle."""
     if not _TABLE:
-        _TABLE.append(letter_table())
+        _TABLE.append(point_table())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = np.zeros(len(points) + 2, np.int64)
+    letters = np.zeros(len(points) + 2, np.uint64)
     far = points >= 1 << 16
     letters[1:-1] = _TABLE[0][np.where(far, 0, points)]
     if far.any():
-        letters[1:-1][far] = [60 if chr(p).isalpha() else 0 for p in points[far]]
-    codes = (letters[:-2] * LETTERS + letters[1:-1]) * LETTERS + letters[2:]
-    return codes[letters[1:-1] > 0]
+        letters[1:-1][far] = [ord(chr(p).lower()) if chr(p).isalpha() else 0 for p in points[far]]
+    codes = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
+    codes = (codes ^ codes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    codes = (codes ^ codes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (codes >> np.uint64(44)).astype(np.int64)[letters[1:-1] > 0]
 
 
 def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +89,7 @@ def _frequency_rows(batches: Iterator[dict]) -> Iterator[dict]:
     seen, texts = np.zeros(DIMENSIONS, np.int64), 0
     for batch in batches:
         for text in batch["text"]:
-            used = np.zeros(DIMENSIONS, bool)
-            used[triples(text)] = True
-            seen += used
+            seen[np.unique(triples(text))] += 1
             texts += 1
     used = np.nonzero(seen)[0]
     yield {"code": [*used.tolist(), -1], "n": [*seen[used].tolist(), texts]}
@@ -125,8 +137,10 @@ def _cluster(rows: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, list[np.n
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, languages: list[str], centroids: np.ndarray):
-        self.idf, self.languages, self.centroids = idf, languages, centroids
+    """``centroids`` has a row for each dimension of ``used`` (sorted), the others are zero."""
+
+    def __init__(self, idf: np.ndarray, languages: list[str], used: np.ndarray, centroids: np.ndarray):
+        self.idf, self.languages, self.used, self.centroids = idf, languages, used, centroids
 
     def nearest(self, text: str) -> tuple[str, float]:
         """The language of the nearest centroid and its cosine, or ``und`` and 0 where the text has no letter."""
@@ -135,7 +149,9 @@ class Model:
             return UNKNOWN, 0.0
         weights = weights * self.idf[codes]
         length = np.linalg.norm(weights)
-        likeness = self.centroids[codes].T @ weights / length
+        at = np.minimum(np.searchsorted(self.used, codes), len(self.used) - 1)
+        hit = self.used[at] == codes
+        likeness = self.centroids[at[hit]].T @ weights[hit] / length
         best = int(likeness.argmax())
         return self.languages[best], float(min(max(likeness[best], 0.0), 1.0))
 
@@ -169,10 +185,12 @@ def train(docs: DataFrame, sample: int = SAMPLE):
 
     parts = chosen.groupBy("lang").applyInPandas(fit, "lang string, k int, codes binary, weights binary").collect()
     parts.sort(key=lambda r: (r["lang"], r["k"]))
-    centroids = np.zeros((DIMENSIONS, len(parts)), np.float32)
+    own = [np.frombuffer(p["codes"], np.int32) for p in parts]
+    used = np.unique(np.concatenate([np.zeros(0, np.int32), *own]))
+    centroids = np.zeros((len(used), len(parts)), np.float32)
     for n, part in enumerate(parts):
-        centroids[np.frombuffer(part["codes"], np.int32), n] = np.frombuffer(part["weights"], np.float32)
-    return spark.sparkContext.broadcast(Model(idf, [p["lang"] for p in parts], centroids))
+        centroids[np.searchsorted(used, own[n]), n] = np.frombuffer(part["weights"], np.float32)
+    return spark.sparkContext.broadcast(Model(idf, [p["lang"] for p in parts], used, centroids))
 
 
 def _limits(known: DataFrame, sample: int) -> DataFrame:
