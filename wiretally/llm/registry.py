@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wiretally.llm import decontaminate, golay_dedup, language_id, packing, quality, secrets, simhash_prints, toxicity, url_filter, warc
+from wiretally.llm import (
+    conversation_repair,
+    decontaminate,
+    golay_dedup,
+    language_id,
+    line_dedup,
+    packing,
+    quality,
+    resample,
+    secrets,
+    simhash_prints,
+    toxicity,
+    url_filter,
+    warc,
+)
 from wiretally.llm.common import table
 
 
@@ -48,9 +62,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.with_digest(line_dedup.drop_lines(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle(), "op6_warc_derivatives": warc.oracle()}
+    return {
+        "op2_url_filter": url_filter.oracle(),
+        "op6_warc_derivatives": warc.oracle(),
+        "op12_resample": resample.oracle(),
+        "op13_line_dedup": line_dedup.oracle(),
+    }
