@@ -3,6 +3,8 @@
 Lines are exploded with their positions, normalised and hashed; distinct documents are counted
 per hash; lines of hashes over the threshold are dropped by position and the rest reassembled.
 Only hashes, ids and positions are shuffled for the search; texts move once, at the end.
+Hashes and shared keys are written once: lines are hashed a single time, and the join reads two
+plain tables, so a key of very many lines can be split over tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiretally.session import materialise
+
 #: Keys shorter than this (in code points) never count as shared lines.
 LEAST_CHARS = 40
 #: Documents that must hold a key before it is dropped.
@@ -68,8 +72,8 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     is empty. An empty table gives no row; columns other than ``doc_id`` and ``text`` are not read.
     """
     rows = _rows(docs)
-    lines = keyed_lines(rows, least_chars)
-    shared = shared_keys(lines, least_docs)
+    lines = materialise(keyed_lines(rows, least_chars), "line-keys")
+    shared = materialise(shared_keys(lines, least_docs), "shared-lines")
     hits = lines.join(shared.select("hash", "last"), "hash").where(~F.col("doc_id").eqNullSafe(F.col("last")))
     dropped = hits.groupBy("row").agg(F.collect_set("pos").alias("dropped"))
     found = rows.join(dropped, "row", "left").withColumn("lines", lines_of(F.col("text")))
