@@ -91,9 +91,8 @@ def cv_score(hist: Column) -> Column:
     """Flatness of a histogram: one minus the coefficient of variation."""
     n = F.size(hist)
     total = F.aggregate(hist, F.lit(0.0), lambda a, v: a + v)
-    mean = total / n
-    variance = F.aggregate(hist, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    cv = F.sqrt(variance) / mean
+    squares = F.aggregate(hist, F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    cv = F.sqrt(F.greatest(n * squares - total * total, F.lit(0.0))) / total
     return F.when(cv > 1, F.lit(0.0)).otherwise(F.least(F.round(1 - cv, 3), F.lit(1.0)))
 
 

@@ -51,6 +51,56 @@ def running_sum(
     )
 
 
+def order_statistics(rows: DataFrame, key: str, value: str, n: str) -> DataFrame:
+    """Exact quartiles and median absolute deviation per key of (key, value, n) rows.
+
+    Returns ``key``, ``count``, ``q1``, ``q2``, ``q3`` and ``mad``. ``n`` is how often a value
+    occurs, so a key holds as many rows as it has distinct values, whatever its weight. The
+    element at a position is that of the row whose running weight covers it; quartiles are
+    medians of the halves, without the middle one of an odd count. A second running weight,
+    in the order of the distance from the median, gives the deviation. One shuffle by key;
+    the windows are sorts within it and spill. Rows without a value are left out.
+    """
+    rows = rows.where(F.col(value).isNotNull() & (F.col(n) > 0)).select(key, F.col(value).alias("_v"), F.col(n).alias("_n"))
+    of_key = Window.partitionBy(key)
+    up_to = (Window.unboundedPreceding, Window.currentRow)
+
+    def at(position: Column, upper: str) -> Column:
+        upper = F.col(upper)
+        return F.max(F.when((upper - F.col("_n") <= position) & (position < upper), F.col("_pick")))
+
+    def half(c: Column) -> Column:
+        return F.floor(c / 2)
+
+    def middle(start: Column, size: Column, upper: str, over=None) -> Column:
+        low, high = at(start + half(size - 1), upper), at(start + half(size), upper)
+        if over is not None:
+            low, high = low.over(over), high.over(over)
+        return (low + high) / F.lit(2.0)
+
+    total, none = F.col("_total"), F.lit(0)
+    placed = rows.select(
+        "*",
+        F.sum("_n").over(of_key).alias("_total"),
+        F.sum("_n").over(of_key.orderBy("_v").rowsBetween(*up_to)).alias("_upper"),
+        F.col("_v").alias("_pick"),
+    )
+    placed = placed.withColumn("_median", middle(none, total, "_upper", of_key))
+    placed = placed.withColumn("_off", F.abs(F.col("_v") - F.col("_median")))
+    placed = placed.withColumn("_reach", F.sum("_n").over(of_key.orderBy("_off").rowsBetween(*up_to)))
+    lower, start = half(total), half(total + 1)
+    off = lambda position: F.max(
+        F.when((F.col("_reach") - F.col("_n") <= position) & (position < F.col("_reach")), F.col("_off"))
+    )
+    return placed.groupBy(key).agg(
+        F.max("_total").alias("count"),
+        middle(none, lower, "_upper").alias("q1"),
+        F.max("_median").alias("q2"),
+        middle(start, lower, "_upper").alias("q3"),
+        ((off(half(total - 1)) + off(half(total))) / F.lit(2.0)).alias("mad"),
+    )
+
+
 def char_entropy(text: Column) -> Column:
     """Entropy over the characters of one short label, 6 decimals."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -1,19 +1,20 @@
 """Beacon scoring of connection keys.
 
 Input are the mergeable distributions of :mod:`wiretally.operators.hourly`:
-(key, second, n) and (key, bytes, n). Keys that reach the strobe limit are removed before
-anything is gathered, so an array holds fewer than 86,400 entries by construction.
+(key, second, n) and (key, bytes, n). They stay relations: quartiles and deviations are read
+off running weights, so no array grows with a key.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.config import STROBE_CONNECTIONS, BeaconConfig
 from wiretally.functions import beaconmath as bm
+from wiretally.functions.stats import order_statistics
 
 
 def eligible_keys(totals: DataFrame, cfg: BeaconConfig = BeaconConfig(), strobe: int = STROBE_CONNECTIONS) -> DataFrame:
@@ -41,88 +42,79 @@ def mode_of(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def key_seconds(seconds: DataFrame) -> DataFrame:
+    """Hours merged: one row per key and second, dealt by key for all that follows."""
+    merged = seconds.groupBy("hash", F.unix_seconds("ts").alias("ts_sec")).agg(F.sum("n").alias("n"))
+    return merged.repartition("hash")
+
+
+def gap_counts(per_second: DataFrame) -> DataFrame:
+    """(hash, gap, n) of the steps between the distinct seconds of each key."""
+    before = F.lag("ts_sec").over(Window.partitionBy("hash").orderBy("ts_sec"))
+    gaps = per_second.select("hash", (F.col("ts_sec") - before).alias("gap")).where(F.col("gap").isNotNull())
+    return gaps.groupBy("hash", "gap").agg(F.count(F.lit(1)).alias("n"))
+
+
 def interval_counts(seconds: DataFrame) -> DataFrame:
     """Gap lengths per key with their frequency, repeats within a second as gap 0."""
-    gathered = seconds.groupBy("hash").agg(
-        F.array_sort(F.collect_set("ts_sec")).alias("ts"), F.sum("n").alias("total")
-    )
-    gaps = gathered.select("hash", F.explode(bm.deltas(F.col("ts"))).alias("gap"))
-    repeats = gathered.select("hash", F.lit(0).cast("bigint").alias("gap"), (F.col("total") - F.size("ts")).alias("n"))
-    return (
-        gaps.groupBy("hash", "gap")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(repeats.filter(F.col("n") > 0))
-    )
+    per_second = key_seconds(seconds)
+    repeats = per_second.groupBy("hash").agg((F.sum("n") - F.count(F.lit(1))).alias("n"))
+    zeros = repeats.where(F.col("n") > 0).select("hash", F.lit(0).cast("bigint").alias("gap"), "n")
+    return gap_counts(per_second).unionByName(zeros)
 
 
 def beacon_features(
     seconds: DataFrame, sizes: DataFrame, keys: DataFrame, span: DataFrame, cfg: BeaconConfig = BeaconConfig()
 ) -> DataFrame:
-    """Per eligible key: sorted timestamps, sorted sizes and the 24-bar histogram.
+    """Per eligible key: order statistics of its gaps and sizes, and the 24-bar histogram.
 
-    ``span`` is one row (min_ts, max_ts). Hours merge first, by (key, value); the bars are
-    plain conditional sums of the same aggregation that gathers the timestamps.
+    ``span`` is one row (min_ts, max_ts). Gaps and sizes stay (key, value, count) rows and are
+    read off running weights; the bars are conditional sums. Only the bars, whose number is
+    fixed, form an array. A key left by the strobe rule has fewer than 86,400 rows.
     """
     limits = span.select(
         F.unix_seconds("min_ts").alias("lo"), F.unix_seconds("max_ts").alias("hi")
     )
-    per_second = (
-        seconds.join(keys, "hash", "left_semi")
-        .groupBy("hash", F.unix_seconds("ts").alias("ts_sec"))
-        .agg(F.sum("n").alias("n"))
-        .crossJoin(F.broadcast(limits))  # one row
-        .withColumn("bar", bm.bin_index(F.col("ts_sec"), F.col("lo"), F.col("hi"), cfg.bins))
+    per_second = key_seconds(seconds.join(keys, "hash", "left_semi"))
+    barred = per_second.crossJoin(F.broadcast(limits)).withColumn(  # one row
+        "bar", bm.bin_index(F.col("ts_sec"), F.col("lo"), F.col("hi"), cfg.bins)
     )
     bars = [F.coalesce(F.sum(F.when(F.col("bar") == i, F.col("n"))), F.lit(0)) for i in range(cfg.bins)]
-    timing = per_second.groupBy("hash").agg(
-        F.array_sort(F.collect_list("ts_sec")).alias("ts"),
+    timing = barred.groupBy("hash").agg(
+        F.min("ts_sec").alias("first_ts"),
+        F.max("ts_sec").alias("last_ts"),
         F.array(*bars).alias("hist"),
         F.first("lo").alias("lo"),
         F.first("hi").alias("hi"),
     )
-    amounts = (
-        sizes.join(keys, "hash", "left_semi")
-        .groupBy("hash", "src_ip_bytes")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("hash")
-        .agg(F.array_sort(F.collect_list(F.struct("src_ip_bytes", "n"))).alias("pairs"))
-        .select(
-            "hash",
-            F.flatten(
-                F.transform("pairs", lambda p: F.array_repeat(p["src_ip_bytes"], p["n"].cast("int")))
-            ).alias("sizes"),
-        )
-    )
-    return timing.join(amounts, "hash")
+
+    def named(stats: DataFrame, prefix: str) -> DataFrame:
+        return stats.select("hash", *[F.col(c).alias(f"{prefix}_{c}") for c in ("count", "q1", "q2", "q3", "mad")])
+
+    amounts = sizes.join(keys, "hash", "left_semi").groupBy("hash", "src_ip_bytes").agg(F.sum("n").alias("n"))
+    by_gap = named(order_statistics(gap_counts(per_second), "hash", "gap", "n"), "gap")
+    by_size = named(order_statistics(amounts, "hash", "src_ip_bytes", "n"), "size")
+    return timing.join(by_gap, "hash").join(by_size, "hash")
 
 
 def score_beacons(features: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFrame:
     """All partial scores and the weighted beacon score of each key.
 
-    Keys with fewer than three gaps, three sizes or an empty range keep NULL scores and
+    Keys with fewer than three gaps, three sizes or an empty range have no row and
     stay available to the other indicators.
     """
     c = F.col
-    q1, q2, q3 = bm.quartiles(c("gaps"))
-    s1, s2, s3 = bm.quartiles(c("sizes"))
+    bars = features.filter((c("gap_count") >= 3) & (c("size_count") >= 3) & (c("hi") > c("lo")))
     stage = (
-        features.withColumn("gaps", F.array_sort(bm.deltas(c("ts"))))
-        .filter((F.size("gaps") >= 3) & (F.size("sizes") >= 3) & (c("hi") > c("lo")))
-        .withColumn("_q1", q1)
-        .withColumn("_q2", q2)
-        .withColumn("_q3", q3)
-        .withColumn("_s1", s1)
-        .withColumn("_s2", s2)
-        .withColumn("_s3", s3)
-        .withColumn("ts_skew", bm.bowley_skew(c("_q1"), c("_q2"), c("_q3")))
-        .withColumn("ds_skew", bm.bowley_skew(c("_s1"), c("_s2"), c("_s3")))
-        .withColumn("ts_mad", bm.mad(c("gaps"), c("_q2")))
-        .withColumn("ds_mad", bm.mad(c("sizes"), c("_s2")))
+        bars.withColumn("ts_skew", bm.bowley_skew(c("gap_q1"), c("gap_q2"), c("gap_q3")))
+        .withColumn("ds_skew", bm.bowley_skew(c("size_q1"), c("size_q2"), c("size_q3")))
+        .withColumn("ts_mad", c("gap_mad"))
+        .withColumn("ds_mad", c("size_mad"))
         .withColumn(
-            "ts_score", bm.statistical_score(c("ts_skew"), bm.mad_score(c("_q2"), c("ts_mad"), 1.0))
+            "ts_score", bm.statistical_score(c("ts_skew"), bm.mad_score(c("gap_q2"), c("ts_mad"), 1.0))
         )
         .withColumn(
-            "ds_score", bm.statistical_score(c("ds_skew"), bm.mad_score(c("_s2"), c("ds_mad"), 0.0))
+            "ds_score", bm.statistical_score(c("ds_skew"), bm.mad_score(c("size_q2"), c("ds_mad"), 0.0))
         )
         .withColumn("total_bars", bm.total_bars(c("hist")))
         .withColumn("longest_run", bm.longest_run(c("hist"), cfg.bins))
@@ -134,9 +126,7 @@ def score_beacons(features: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> Da
         .withColumn("hist_score", F.greatest("cv_score", "bimodal_score"))
         .withColumn(
             "dur_score",
-            bm.duration_score(
-                F.array_min("ts"), F.array_max("ts"), c("lo"), c("hi"), c("total_bars"), c("longest_run"), cfg
-            ),
+            bm.duration_score(c("first_ts"), c("last_ts"), c("lo"), c("hi"), c("total_bars"), c("longest_run"), cfg),
         )
     )
     # Parts have three decimals; exact decimals keep a tie such as 0.7485 a tie.
@@ -147,9 +137,7 @@ def score_beacons(features: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> Da
         + exact("dur_score", cfg.duration_weight)
         + exact("hist_score", cfg.histogram_weight)
     )
-    return stage.withColumn("beacon_score", F.round(weighted, 3).cast("double")).drop(
-        "_q1", "_q2", "_q3", "_s1", "_s2", "_s3", "_freq"
-    )
+    return stage.withColumn("beacon_score", F.round(weighted, 3).cast("double")).drop("_freq")
 
 
 def score_keys(
@@ -158,8 +146,9 @@ def score_keys(
     sizes: DataFrame,
     span: DataFrame,
     cfg: BeaconConfig = BeaconConfig(),
+    scored_only: bool = False,
 ) -> DataFrame:
-    """Roll-up rows with their beacon score (NULL where not eligible)."""
+    """Roll-up rows with their beacon score (NULL where not eligible, unless ``scored_only``)."""
     scores = score_beacons(beacon_features(seconds, sizes, eligible_keys(totals, cfg), span, cfg), cfg)
     kept = ["hash", "beacon_score", "ts_score", "ds_score", "hist_score", "dur_score"]
-    return totals.join(scores.select(*kept), "hash", "left")
+    return totals.join(scores.select(*kept), "hash", "inner" if scored_only else "left")

@@ -16,13 +16,9 @@ def rank_requests(http: DataFrame) -> DataFrame:
     return http.withColumn("rn", F.row_number().over(newest))
 
 
-def link_http(http: DataFrame, conn: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(linked requests, extra connection rows for requests without a host).
-
-    Only the newest request carries the traffic of its connection; older ones are marked
-    ``multi_request`` and count zero. ``conn`` must still hold its filtered rows.
-    """
-    carry = conn.select(
+def carried(conn: DataFrame, *extra: str) -> DataFrame:
+    """What a connection passes on to its requests and handshakes."""
+    return conn.select(
         "zeek_uid",
         F.col("hash").alias("conn_hash"),
         F.col("ts").alias("conn_ts"),
@@ -31,9 +27,23 @@ def link_http(http: DataFrame, conn: DataFrame) -> tuple[DataFrame, DataFrame]:
         "duration",
         "conn_state",
         *_CARRIED,
+        *extra,
     )
+
+
+def link_http(http: DataFrame, conn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(linked requests, extra connection rows for requests without a host).
+
+    Only the newest request carries the traffic of its connection; older ones are marked
+    ``multi_request`` and count zero. ``conn`` must still hold its filtered rows.
+    """
+    return finish_http(rank_requests(http).drop("hash").join(carried(conn), "zeek_uid"))
+
+
+def finish_http(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`link_http` from requests that are ranked and joined to their connections."""
     newest = F.col("rn") == 1
-    linked = rank_requests(http).drop("hash").join(carry, "zeek_uid")
+    linked = ranked
     for column in _CARRIED:
         linked = linked.withColumn(column, F.when(newest, F.col(column)).otherwise(F.lit(0)))
     linked = (
@@ -73,23 +83,29 @@ def link_http(http: DataFrame, conn: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def link_ssl(ssl: DataFrame, conn: DataFrame) -> DataFrame:
     """Handshakes with the traffic of their connection (no ranking)."""
-    carry = conn.select(
-        "zeek_uid",
-        F.col("ts").alias("conn_ts"),
-        "proto",
-        "service",
-        "duration",
-        "conn_state",
-        *_CARRIED,
-    )
+    return finish_ssl(ssl.join(carried(conn).drop("conn_hash"), "zeek_uid"))
+
+
+def finish_ssl(joined: DataFrame) -> DataFrame:
     return (
-        ssl.join(carry, "zeek_uid")
-        .withColumn("hash", F.md5(F.concat("src", "src_nuid", "server_name")))
+        joined.withColumn("hash", F.md5(F.concat("src", "src_nuid", "server_name")))
         .withColumn("ts", F.col("conn_ts"))
         .drop("conn_ts")
     )
 
 
+def link_stream(log: DataFrame, conn: DataFrame, lateness: str, window: str, *extra: str) -> DataFrame:
+    """Rows of a log stream joined to the connections they belong to, whichever comes first.
+
+    Both sides carry a watermark and a row waits for its partner for ``window`` of event time,
+    which bounds the state. A row older than the watermark is dropped and counted by the query.
+    """
+    log = log.drop("hash").withWatermark("ts", lateness)
+    conn = carried(conn, *extra).withColumnRenamed("zeek_uid", "conn_uid").withWatermark("conn_ts", lateness)
+    near = F.expr(f"ts >= conn_ts - INTERVAL {window} AND ts <= conn_ts + INTERVAL {window}")
+    return log.join(conn, (F.col("zeek_uid") == F.col("conn_uid")) & near).drop("conn_uid")
+
+
 def sni_uids(
     usni_totals: DataFrame,
     sni_keys: DataFrame,

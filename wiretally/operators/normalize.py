@@ -81,8 +81,11 @@ def _endpoints(raw: DataFrame, cfg: FilterConfig) -> DataFrame:
     )
 
 
-def normalize_conn(raw: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFrame:
-    """Connection entries. ``filtered`` rows survive only so that proxies can link."""
+def normalize_conn(raw: DataFrame, cfg: FilterConfig = FilterConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Connection entries. ``filtered`` rows survive only so that proxies can link.
+
+    ``keep`` names further columns of ``raw`` to pass on.
+    """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     icmp = F.col("proto") == "icmp"
     entries = _endpoints(raw, cfg)
@@ -116,6 +119,7 @@ def normalize_conn(raw: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFr
             zero("resp_pkts").alias("dst_packets"),
             F.lit(False).alias("missing_host_header"),
             F.lit("").alias("missing_host_useragent"),
+            *keep,
         )
     )
 

@@ -12,6 +12,7 @@ from wiretally.config import PUBLIC_NETWORK_ID, UNKNOWN_PRIVATE_NETWORK_ID
 from wiretally.operators import hourly, linking, normalize
 from wiretally.plans import adapters as ad
 from wiretally.session import materialise
+from wiretally.streaming.rolling import RollingImport
 
 
 @dataclass
@@ -113,6 +114,36 @@ class RecentLogs(OrderLogs):
             self.__dict__[name] = hourly.since(getattr(logs, name), F.lit(min_ts), "ts")
 
 
+class RollingLogs(OrderLogs):
+    """The logs of a rolling store; a log of which nothing has come is an empty table."""
+
+    def __init__(self, rolling: RollingImport, sf_dir: str, empty: OrderLogs):
+        super().__init__(rolling.spark, sf_dir)
+
+        def table(name: str, shape: DataFrame) -> DataFrame:
+            found = rolling.read(name)
+            return shape.filter(F.lit(False)) if found is None else found.drop("hour_id", "batch")
+
+        conn = table("conn", normalize.normalize_conn(empty._raw_conn, keep=("is_open",)))
+        carried = linking.carried(conn, "is_open")
+        http = table("http", empty.http_tmp.drop("hash").join(carried, "zeek_uid"))
+        ssl = table("ssl", empty.ssl_tmp.drop("hash").join(carried, "zeek_uid"))
+        side = lambda df, opened: df.filter(F.col("is_open") == opened).drop("is_open")
+        link = lambda opened: linking.finish_http(linking.rank_requests(side(http, opened)))
+        handshakes = linking.finish_ssl(ssl.drop("conn_hash"))
+        self.__dict__ |= {
+            "conn_tmp": side(conn, False),
+            "open_conn_tmp": side(conn, True),
+            "_linked": link(False),
+            "_open_linked": link(True),
+            "ssl": side(handshakes, False),
+            "open_ssl": side(handshakes, True),
+            "dns": table("dns", empty.dns),
+        }
+        for name in ("http", "open_http", "ssl", "open_ssl", "conn", "open_conn"):
+            self.__dict__[name] = materialise(getattr(self, name), name)
+
+
 # Normalised logs first, so each raw log is parsed once; then the linked ones.
 _STORED = ("conn_tmp", "open_conn_tmp", "http_tmp", "ssl_tmp", "http", "open_http", "ssl", "open_ssl", "conn", "open_conn", "dns")
 _imports: dict[tuple[str, str], OrderLogs] = {}

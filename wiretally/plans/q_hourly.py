@@ -201,10 +201,11 @@ FIRST_SEEN = {
 }
 
 
-def first_seen(logs):
+def first_seen(logs, previous=None):
     return hourly.agg_first_seen(
         [logs.conn, logs.open_conn],
         [(logs.ssl, "server_name"), (logs.open_ssl, "server_name"), (logs.http, "host"), (logs.open_http, "host"), (logs.dns, "query")],
+        previous,
     )
 
 

@@ -14,6 +14,7 @@ from wiretally.plans import adapters as ad
 from wiretally.plans import q_hourly as qh
 from wiretally.plans import q_logs as ql
 from wiretally.plans.logs import SQL, RecentLogs, stored_logs
+from wiretally.session import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,8 +142,13 @@ def _ints_sql(column: str) -> str:
 
 @query("w02_deltas", f"SELECT hash, {_ints_sql('gaps')} FROM ip_time")
 def deltas(spark, d):
-    f = ip_features(stored_logs(spark, d))
-    return f.withColumn("gaps", F.array_sort(bm.deltas(F.col("ts")))).select("hash", _ints("gaps"))
+    """Gaps as text; a key left by the strobe rule has fewer than 86,400."""
+    logs = stored_logs(spark, d)
+    keys = beacons.eligible_keys(qh.rollup_ip(logs))
+    gaps = beacons.gap_counts(beacons.key_seconds(hourly.pair_seconds(logs.conn).join(keys, "hash", "left_semi")))
+    pairs = gaps.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("gap", "n"))).alias("pairs"))
+    repeated = F.flatten(F.transform("pairs", lambda p: F.array_repeat(p["gap"], p["n"].cast("int"))))
+    return pairs.select("hash", repeated.alias("gaps")).select("hash", _ints("gaps"))
 
 
 @query("b06_ts_histogram", f"SELECT hash, {_ints_sql('hist')} FROM ip_hist")
@@ -155,11 +161,15 @@ def histogram(spark, d):
     "SELECT hash, q1, q2, q3, s1, s2, s3, round(tskew, 8) AS ts_skew, round(sskew, 8) AS ds_skew FROM ip_m",
 )
 def quartiles(spark, d):
-    f = ip_features(stored_logs(spark, d)).withColumn("gaps", F.array_sort(bm.deltas(F.col("ts")))).filter(F.size("gaps") >= 3)
-    q, s = bm.quartiles(F.col("gaps")), bm.quartiles(F.col("sizes"))
-    f = f.select("hash", *[c.alias(f"q{i}") for i, c in enumerate(q, 1)], *[c.alias(f"s{i}") for i, c in enumerate(s, 1)])
-    return f.withColumn("ts_skew", F.round(bm.bowley_skew(F.col("q1"), F.col("q2"), F.col("q3")), 8)).withColumn(
-        "ds_skew", F.round(bm.bowley_skew(F.col("s1"), F.col("s2"), F.col("s3")), 8)
+    f = ip_features(stored_logs(spark, d)).filter("gap_count >= 3 AND size_count >= 3")
+    q, s = [f"gap_q{i}" for i in (1, 2, 3)], [f"size_q{i}" for i in (1, 2, 3)]
+    skew = lambda c: F.round(bm.bowley_skew(*map(F.col, c)), 8)
+    return f.select(
+        "hash",
+        *[F.col(c).alias(c.replace("gap_", "")) for c in q],
+        *[F.col(c).alias(c.replace("size_q", "s")) for c in s],
+        skew(q).alias("ts_skew"),
+        skew(s).alias("ds_skew"),
     )
 
 
@@ -188,7 +198,7 @@ for _name, (_select, _columns) in _PARTS.items():
 
 @query("b07_freq_counts", f"SELECT hash, {_ints_sql('freq')} FROM ip_f")
 def freq_counts(spark, d):
-    f = ip_features(stored_logs(spark, d)).filter((F.size("ts") >= 4) & (F.size("sizes") >= 3))
+    f = ip_features(stored_logs(spark, d)).filter("gap_count >= 3 AND size_count >= 3")
     counts = bm.frequency_counts(bm.frequency_groups(F.col("hist"), 0.05))
     return f.withColumn("freq", counts).select("hash", _ints("freq"))
 
@@ -203,14 +213,14 @@ def beacon_ip(spark, d):
 @query("b12_beacon_score_sni", "SELECT hash, beacon_score, ts_score, ds_score, hist_score, dur_score FROM sni_beacon")
 def beacon_sni(spark, d):
     logs = stored_logs(spark, d)
-    scored = sni_beacons(logs, qh.rollup_sni(logs))
-    return scored.filter("beacon_score IS NOT NULL").select("hash", "beacon_score", "ts_score", "ds_score", "hist_score", "dur_score")
+    scored = sni_beacons(logs, qh.rollup_sni(logs), scored_only=True)
+    return scored.select("hash", "beacon_score", "ts_score", "ds_score", "hist_score", "dur_score")
 
 
-def sni_beacons(logs, totals):
-    return beacons.score_keys(
-        totals, hourly.pair_seconds(logs.sni_rows), hourly.pair_sizes(logs.sni_rows), ip_span(logs)
-    )
+def sni_beacons(logs, totals, scored_only=False, span=None):
+    span = ip_span(logs) if span is None else span
+    seconds, sizes = hourly.pair_seconds(logs.sni_rows), hourly.pair_sizes(logs.sni_rows)
+    return beacons.score_keys(totals, seconds, sizes, span, scored_only=scored_only)
 
 
 @query(
@@ -220,7 +230,7 @@ def sni_beacons(logs, totals):
 def distinct_counts(spark, d):
     logs = stored_logs(spark, d)
     keys = beacons.eligible_keys(qh.rollup_ip(logs))
-    seconds = hourly.pair_seconds(logs.conn).join(keys, "hash", "left_semi").withColumn("ts_sec", F.unix_seconds("ts"))
+    seconds = hourly.pair_seconds(logs.conn).join(keys, "hash", "left_semi")
     return beacons.interval_counts(seconds)
 
 
@@ -256,25 +266,30 @@ def band(spark, d):
 # ---- threat rows -------------------------------------------------------------------
 
 
-def scored_rows(logs):
+def scored_rows(logs, seen=None):
     """All threat rows of the last 24 hours of the import with their row modifiers.
 
-    Only first sights and the size of the network come from the whole import.
+    Only first sights (``seen``, where an import keeps them) and the size of the network come
+    from the whole import.
     """
     size, span = qh.size(logs), ip_span(logs)
-    seen = qh.first_seen(logs)
+    seen = qh.first_seen(logs) if seen is None else seen
     start = span.select("min_ts").first()[0]
     if start is not None:
         logs = RecentLogs(logs, start)
+    for name in ("uconn", "usni", "udns", "sni_rows"):  # hourly tables: written once, read by many
+        logs.__dict__[name] = materialise(getattr(logs, name), name)
+    span, size = materialise(span, "span"), materialise(size, "size")
     keys = linking.ip_only_keys(ql.pair_keys(logs), ql.sni_uids(logs))
     ip = qh.rollup_ip(logs, keys)
     ip = beacons.score_keys(ip, hourly.pair_seconds(logs.conn), hourly.pair_sizes(logs.conn), span)
+    ip = materialise(ip, "ip-rollup")
     ip = rollups.attach_intel(ip, logs.intel, "target_ip", "ip")
     ip = rollups.attach_prevalence(ip, rollups.prevalence_ip([logs.uconn, logs.open_conn]), "target_ip", "ip", size)
     ip = rollups.attach_first_seen(ip, seen, "target_ip", "ip", True)
     ip = rollups.attach_ports(ip, qh.labels(logs))
 
-    sni = sni_beacons(logs, qh.rollup_sni(logs))
+    sni = materialise(sni_beacons(logs, qh.rollup_sni(logs), span=span), "sni-rollup")
     sni = rollups.attach_intel(sni, logs.intel, "fqdn", "fqdn")
     counts = rollups.prevalence_fqdn(qh.named(logs) + [(logs.udns, "fqdn")])
     sni = rollups.attach_prevalence(sni, counts, "fqdn", "fqdn", size)
@@ -297,8 +312,6 @@ _stored_scores: dict = {}
 
 def stored_scores(spark, d):
     """Threat rows written once, like the result table of an import."""
-    from wiretally.session import materialise
-
     key = (spark.sparkContext.applicationId, d)
     if key not in _stored_scores:
         _stored_scores[key] = materialise(scored_rows(stored_logs(spark, d)), "scores")
