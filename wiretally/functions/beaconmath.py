@@ -67,7 +67,7 @@ def bin_index(ts: Column, low: Column, high: Column, bins: int) -> Column:
     Values below the first edge count in bin 0, values above the last in the last bin.
     """
     step = (high - low) / F.lit(float(bins))
-    raw = F.floor((ts - low) / step)
+    raw = F.floor(F.try_divide(ts - low, step))  # an empty range has one bin
     return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
@@ -132,7 +132,7 @@ def duration_score(
     first: Column, last: Column, low: Column, high: Column, bars: Column, run: Column, cfg: BeaconConfig
 ) -> Column:
     """Coverage of the range or consistency of the hours seen, whichever is larger."""
-    coverage = _ceil3((last - first) / (high - low))
+    coverage = _ceil3(F.try_divide(last - first, high - low))
     consistency = _ceil3(run / F.lit(float(cfg.ideal_hours_seen)))
     return F.when(bars >= cfg.min_hours_seen, F.greatest(coverage, consistency)).otherwise(F.lit(0.0))
 
