@@ -287,7 +287,10 @@ def _possible_rows(frequent):
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             kept = []
-            for k, (n, m) in enumerate(zip(batch["size_a"], batch["size_b"])):
+            for k, (n, m, single) in enumerate(zip(batch["size_a"], batch["size_b"], batch["single"])):
+                if not single:
+                    kept.append(k)
+                    continue
                 a, b = (np.array(batch[c][k], np.int64).view(np.uint64) for c in ("keys_a", "keys_b"))
                 if min(n - lacks(a, b), m - lacks(b, a)) >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6:
                     kept.append(k)
@@ -297,15 +300,22 @@ def _possible_rows(frequent):
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, frequent) -> DataFrame:
-    """The pairs without those whose sizes and prefixes rule out similarity; a pair whose id has several texts stays."""
+    """The pairs without those whose sizes and prefixes rule out similarity; a pair whose id has several texts stays.
+
+    Sizes are compared first, so that prefixes travel with the pairs of texts of about the same size only; they
+    go straight to the comparison and are not written.
+    """
     one = classes.groupBy("id").agg(F.count("*").alias("texts"), F.min(F.struct("size", "keys")).alias("first"))
     one = one.select("id", "texts", "first.*")
-    left = pairs.join(one.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("texts", "size", "keys"))), "a")
-    both = left.join(one.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("texts", "size", "keys"))), "b")
-    both = materialise(both, "pairs-with-prefixes")
-    single = (F.col("texts_a") == 1) & (F.col("texts_b") == 1)
-    some = map_rows(both.where(single).select("a", "b", "size_a", "size_b", "keys_a", "keys_b"), _possible_rows(frequent), "a long, b long")
-    return materialise(some.union(both.where(~single).select("a", "b")), "possible-pairs")
+    sizes = classes.groupBy("id").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    side = lambda df, end: df.select(*(F.col(c).alias(end if c == "id" else f"{c}_{end}") for c in df.columns))
+    sized = pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
+    fits = (F.col("most_a") >= SIMILARITY * F.col("least_b") - 1e-6) & (F.col("most_b") >= SIMILARITY * F.col("least_a") - 1e-6)
+    near = materialise(sized.where(fits).select("a", "b"), "sized-pairs")
+    both = near.join(side(one, "a"), "a").join(side(one, "b"), "b")
+    both = both.withColumn("single", (F.col("texts_a") == 1) & (F.col("texts_b") == 1))
+    kept = map_rows(both.select("a", "b", "single", "size_a", "size_b", "keys_a", "keys_b"), _possible_rows(frequent), "a long, b long")
+    return materialise(kept, "possible-pairs")
 
 
 def _bodies(ids: DataFrame, texts: DataFrame) -> DataFrame:
