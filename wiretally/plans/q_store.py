@@ -387,6 +387,32 @@ def retention(spark, d):
     return store.apply_retention(c.crossJoin(F.broadcast(newest)), "ts", "26 HOURS", F.col("_now")).select("uid")
 
 
+def _lifetimes_sql() -> str:
+    def part(kind: str, keep: int, unit: int) -> str:
+        limit = f"(SELECT epoch(max(ts))::BIGINT - {keep} FROM conn_events)"
+        return f"""SELECT '{kind}' AS kind, count(*) FILTER (epoch_us(ts) >= {limit} * 1000000) AS rows,
+          count(DISTINCT slot) FILTER ((slot + 1) * {unit} <= {limit}) AS dropped
+          FROM (SELECT ts, epoch(date_trunc('second', ts))::BIGINT // {unit} AS slot FROM conn_events)"""
+
+    return " UNION ALL ".join(part(kind, *spans) for kind, spans in store.LIFETIMES.items())
+
+
+@query("s24_drop_expired", _lifetimes_sql())
+def drop_expired(spark, d):
+    """A table of each lifetime, filed by time: rows left and partitions dropped at the newest record's time."""
+    c = ad.conn_events(spark, d).select("uid", "ts")
+    now = c.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    found = None
+    for kind, (keep, unit) in store.LIFETIMES.items():
+        path = fresh_path(spark, f"filed-{kind}")
+        store.write_by_time(c, path, "ts", unit)
+        done = store.drop_expired(spark, path, "ts", keep, unit, now or 0)
+        left = spark.read.schema(c.schema).parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+        row = left.select(F.lit(kind).alias("kind"), "rows", F.lit(done["dropped"]).cast("bigint").alias("dropped"))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 @query(
     "s25_write_alerts_json",
     "SELECT threat_class, detector, count(*) AS alerts, max(confidence) AS max_confidence FROM stored GROUP BY ALL",

@@ -6,9 +6,11 @@ so a change computes the new content of the touched partitions and overwrites th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wiretally.session import materialise
+
 # Columns an alert upsert replaces; all others keep their first value.
 REPLACED = (
     "severity",
@@ -17,11 +19,13 @@ REPLACED = (
     "supporting_evidence",
     "pcap_id",
 )
-# Retention periods.
-LOG_HOURS = 26
-SCORE_DAYS = 14
-FILE_DAYS = 180
-IMPORT_DAYS = 365
+# Lifetimes by kind of table, in seconds, and the seconds of time one partition holds.
+LIFETIMES = {
+    "logs": (26 * 3600, 3600),
+    "scores": (14 * 86400, 86400),
+    "files": (180 * 86400, 86400),
+    "imports": (365 * 86400, 86400),
+}
 
 
 def merge(base: DataFrame, incoming: DataFrame, key: str, replaced: tuple[str, ...] | None) -> DataFrame:
@@ -83,6 +87,41 @@ def apply_retention(df: DataFrame, column: str, keep: str, now: Column | None =
     return df.filter(F.col(column) >= (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {keep}"))
 
 
+def write_by_time(df: DataFrame, path: str, column: str, unit: int) -> None:
+    """Write (or add to) a table filed by stretches of ``unit`` seconds of ``column``."""
+    slot = F.floor(F.unix_seconds(column) / unit)
+    filed = df.withColumn("slot", slot).repartition("slot")
+    filed.write.mode("append").partitionBy("slot").parquet(path)
+
+
+def drop_expired(spark: SparkSession, path: str, column: str, keep: int, unit: int, now: int) -> dict[str, int]:
+    """Remove what is older than ``keep`` seconds before ``now`` (seconds since 1970) from a :func:`write_by_time` table.
+
+    Whole partitions are deleted unread, by their names; only the one that the limit falls into is
+    read, and its recent rows replace it. A repeated call changes nothing; one that was cut off is
+    made good by the next. Returns how many partitions were dropped and rewritten. Only rolling
+    data sets have lifetimes: do not call it for others.
+    """
+    limit = now - keep
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    slots = [status.getPath() for status in files.listStatus(folder) if status.getPath().getName().startswith("slot=")]
+    done = {"dropped": 0, "rewritten": 0}
+    for place in slots:
+        slot = int(place.getName().removeprefix("slot="))
+        if (slot + 1) * unit <= limit:
+            files.delete(place, True)
+            done["dropped"] += 1
+        elif slot * unit < limit:
+            border = spark.read.parquet(path).where(F.col("slot") == slot)
+            recent = materialise(border.where(F.unix_micros(column) >= limit * 1_000_000), "border")
+            overwrite_partitions(recent, path, "slot")
+            if not recent.take(1):
+                files.delete(place, True)
+            done["rewritten"] += 1
+    return done
+
+
 def write_alerts_json(alerts: DataFrame, path: str) -> DataFrame:
     """Write alerts as JSON lines; returns the one-row-per-detector run summary."""
     alerts.write.mode("overwrite").json(path)
