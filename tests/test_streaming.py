@@ -12,7 +12,7 @@ from wiretally.config import FloodConfig
 from wiretally.plans import adapters as ad
 from wiretally.session import fresh_path
 from wiretally.streaming import flows, stateful
-from wiretally.streaming.rolling import RollingImport
+from wiretally.streaming.rolling import RollingImport, late_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +36,30 @@ def test_windows_over_batches(spark):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_closed_windows_are_written_once(spark):
+    """Several files, a late record that is dropped and counted, windows that wait for the watermark."""
+    conn = ad.conn_events(spark, SF)
+    inbox, sink, ckpt = (fresh_path(spark, x) for x in ("inbox", "sink", "ckpt"))
+    first = conn.agg(F.min("ts")).first()[0]
+    cut = conn.agg(F.percentile_approx(F.unix_seconds("ts"), 0.5)).first()[0]
+    early, late = conn.filter(F.unix_seconds("ts") <= cut), conn.filter(F.unix_seconds("ts") > cut)
+    again = conn.filter(F.col("ts") == first)
+    counts, dropped = [], 0
+    for part in (early, late, again, flows.closing_record(conn, 3600, "1 hour")):
+        part.repartitionByRange(2, "ts").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(conn.schema).parquet(inbox)
+        run = flows.stream_closed_windows(stream, sink, ckpt, 3600, "1 hour")
+        run.awaitTermination()
+        dropped += late_rows(run)
+        counts.append(spark.read.parquet(sink).count())
+    assert dropped == again.count() and counts[0] < counts[1] <= counts[2] < counts[3]
+    keep = ["window_start", "dst", "flow_count", "byte_count", "unique_source_count"]
+    got, want = flows.read_closed_windows(spark, sink, 3600).select(*keep), flow.flow_windows(conn, 3600).select(*keep)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    rows = spark.read.parquet(sink)
+    assert rows.count() == rows.select("window_start", "dst", "src").distinct().count()
+
+
 def test_flood_state_over_batches(spark):
     cfg = FloodConfig(z_threshold=1.5, entropy_z_threshold=0.5)
     windows = flow.flow_windows(ad.conn_events(spark, SF), 6 * 3600).drop("conn_state_counts")
