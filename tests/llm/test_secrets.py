@@ -86,3 +86,16 @@ def test_odd_rows(spark):
     assert clean.columns == docs.columns
     by = {(r.doc_id, r.n_chars): r.text for r in clean.collect()}
     assert by[None, 16] == "[assign removed]" and by[1, None] is None and by[3, 2] == "ok"
+
+
+def test_damaged_wrapped_and_joined_layers():
+    key = "AKIA" + "Q" * 20
+    b64 = lambda data: base64.b64encode(data).decode()
+    members = gzip.compress(b"nothing here, just words. " * 4) + gzip.compress(f"and {key} there".encode())
+    wrapped = base64.encodebytes(gzip.compress(f"{key} and {'some other words ' * 30}".encode() + bytes(range(40, 120)) * 3)).decode()
+    late = "plain words. " * 500 + key
+    for body in (b64(members), b64(b"caf\xe9 " + key.encode() + b" and more text"), wrapped, b64(late.encode())):
+        text = f"before {body} after"
+        base, spans, layers, _ = secrets.scan_text(text)
+        assert layers >= 1 and any(kind == 1 for _, kind, _ in spans) and not any(k == 1 for _, k, _ in base)
+    assert "\n" in wrapped.strip()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from bisect import bisect_right
@@ -33,6 +34,8 @@ ESCAPES = re.compile(
     r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over several lines, as mail and key files wrap it.
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
 #: Bytes that one compressed layer may unfold to; beyond that only this head is scanned, and ``cut_layers`` counts it.
 LAYER_BYTES = 1 << 26
 
@@ -123,31 +126,39 @@ def inflate(data: bytes) -> tuple[bytes, bool]:
         if digest in seen:
             break
         seen.add(digest)
-        stream = zlib.decompressobj(47)
+        new, rest, room = b"", data, LAYER_BYTES
         try:
-            new = stream.decompress(data, LAYER_BYTES)
+            while rest and room and (not new or rest[:2] == b"\x1f\x8b"):  # members follow each other
+                stream = zlib.decompressobj(47)
+                new += stream.decompress(rest, room)
+                cut |= bool(stream.unconsumed_tail)
+                rest, room = stream.unused_data, LAYER_BYTES - len(new)
+            cut |= rest[:2] == b"\x1f\x8b"
         except zlib.error:
-            break
-        cut |= bool(stream.unconsumed_tail)
+            if not new:
+                break
         data = new
     return data, cut
 
 
 def unbase64(run: str) -> tuple[str, bool] | None:
-    """Text inside a run of base64, or None if there is none."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    """Text inside a run of base64, or None if there is none.
+
+    White space is dropped, damaged bytes are replaced; a layer is text if at most a tenth of all its
+    characters are unprintable or replaced.
+    """
+    body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return None
     data, cut = inflate(data)
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text[:4096] if not (c.isprintable() or c in "\r\n\t"))
-    return (text, cut) if text and odd * 10 <= min(len(text), 4096) else None
+    text = data.decode("utf-8", "replace")
+    if text.isprintable() and "\ufffd" not in text:
+        return (text, cut) if text else None
+    odd = sum(1 for c in text if c == "\ufffd" or not (c.isprintable() or c in "\r\n\t"))
+    return (text, cut) if odd * 10 <= len(text) else None
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -170,7 +181,8 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         plain = unescape(layer)
         if plain is not None:
             push(plain)
-        for m in BASE64.finditer(layer.text):
+        wrapped = WRAPPED.finditer(layer.text) if "\n" in layer.text else ()
+        for m in itertools.chain(BASE64.finditer(layer.text), wrapped):
             found = unbase64(m[0])
             if found:
                 cuts += found[1]
