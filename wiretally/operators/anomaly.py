@@ -123,14 +123,16 @@ class Forest:
 def _sampled(encoded: DataFrame, trees: int, sample: int, total: int, seed: int) -> DataFrame:
     """(tree, x) rows, about ``sample`` per tree: every tree draws from all rows, independently.
 
-    The draw is a hash of the row and the tree, so only drawn rows are ever written out and a
-    repeated task draws the same. Equal rows are told apart by a random number.
+    The draw is a hash of the whole row and the tree, so only drawn rows are ever written out, and
+    the same rows are drawn at any number and order of partitions. Rows that are equal in all
+    columns are drawn together or not at all; carry an id where that matters.
     """
     share = min(1.0, sample / max(total, 1))
     limit = int(share * 2**62)
     drawn = lambda t: F.shiftrightunsigned(F.xxhash64("_draw", t), 2) <= limit
     own = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)
-    return encoded.select(F.rand(seed).alias("_draw"), "x").select(F.explode(own).alias("tree"), "x")
+    row = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in sorted(encoded.columns)])
+    return encoded.select(row.alias("_draw"), "x").select(F.explode(own).alias("tree"), "x")
 
 
 def train_forest(encoded: DataFrame, trees: int = 300, sample: int = 256, seed: int = 42) -> Forest:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiretally.session import materialise
+
 
 def confusion(df: DataFrame, label: str, predicted: str, keys: list[str] | None = None) -> DataFrame:
     """True and false positives and negatives, per key if any."""
@@ -29,21 +31,18 @@ def f_scores(counts: DataFrame) -> DataFrame:
     )
 
 
-def ranking_scores(df: DataFrame, label: str, score: str, buckets: int = 1024) -> DataFrame:
-    """One row: ROC-AUC and average precision, exact, ties shared.
+def ranking_scores(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: ROC-AUC and average precision, exact, ties shared; rows without a score are left out.
 
-    Equal scores are merged first. Running counts over the merged scores are taken in two
-    levels, score buckets and then inside a bucket, so no single task sorts all scores.
+    Equal scores are merged first. The merged scores, of any range, are dealt by ranges of about equal size
+    and written once; running counts are taken over the ranges and then inside each, so no task sorts all scores.
     """
-    y = (F.col(label) == 1).cast("bigint")
-    points = (
-        df.groupBy(F.col(score).alias("_s"))
-        .agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
-        .withColumn("_b", F.least(F.floor(F.col("_s") * buckets), F.lit(buckets - 1)))
-    )
+    y = F.coalesce((F.col(label) == 1).cast("bigint"), F.lit(0))
+    merged = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
+    points = materialise(merged.repartitionByRange("_s").withColumn("_b", F.spark_partition_id()), "ranked-scores")
     totals = points.groupBy("_b").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
     above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``buckets`` rows pass through this global window.
+    # One row per range passes through this global window.
     offsets = totals.select(
         "_b",
         F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),

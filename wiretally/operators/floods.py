@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.config import FloodConfig
+from wiretally.session import materialise
+
+#: Windows of one destination that are walked in one piece, about.
+CHUNK_ROWS = 4096
 
 _METRICS = ("pkt_rate", "byte_rate", "src_ip_entropy")
 _SCORES = "baseline_size int, pkt_z double, byte_z double, entropy_z double, flagged boolean"
@@ -49,34 +52,85 @@ def new_history(cfg: FloodConfig) -> list[deque]:
     return [deque(maxlen=cfg.baseline_windows) for _ in _METRICS]
 
 
-def score_windows(windows: DataFrame, cfg: FloodConfig = FloodConfig()) -> DataFrame:
+def _chunked(windows: DataFrame, cfg: FloodConfig, rows: int) -> DataFrame:
+    """Add ``chunk``: stretches of time of one destination, each with at least ``rows`` windows but for the last.
+
+    Windows are counted per stretch of time first, so running sums pass over stretches, not over windows.
+    """
+    stretch = F.floor(F.unix_seconds("window_start") / max(rows * cfg.window_seconds // 4, 1))
+    sizes = windows.groupBy("dst", stretch.alias("_stretch")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("dst").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = sizes.select("dst", "_stretch", F.floor(F.coalesce(before, F.lit(0)) / rows).alias("chunk"))
+    return windows.withColumn("_stretch", stretch).join(chunks, ["dst", "_stretch"]).drop("_stretch")
+
+
+def _walk(pdf: pd.DataFrame, before: pd.DataFrame, cfg: FloodConfig) -> tuple[pd.DataFrame, list[tuple], list[deque]]:
+    """Ordered windows of a chunk, their verdicts and the clean history after them."""
+    pdf = pdf.sort_values("window_start", kind="stable")
+    history = new_history(cfg)
+    if len(before):
+        for past, values in zip(history, before.before.iloc[0].reshape(len(_METRICS), -1)):
+            past.extend(values.tolist())
+    columns = zip(pdf.pkt_rate, pdf.byte_rate, pdf.src_ip_entropy, pdf.flow_count)
+    return pdf, [judge(history, (p, b, e), f, cfg) for p, b, e, f in columns], history
+
+
+def _histories(windows: DataFrame, cfg: FloodConfig) -> DataFrame:
+    """(dst, chunk, before): the clean history before each chunk of the destinations with several chunks.
+
+    Every chunk is walked as if nothing came before it, then again from what its predecessor
+    left, until no chunk starts from another history than its predecessor ends with. The first
+    chunk starts right, so by then all do. Chunks are long against a history, so the second walk
+    is mostly the last; only chunks whose start has changed are walked again.
+    """
+
+    def after(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or before.empty:
+            return pd.DataFrame(columns=["dst", "chunk", "before", "after"])
+        _, _, history = _walk(pdf, before, cfg)
+        out = before[["dst", "chunk", "before"]].copy()
+        out["after"] = [[v for past in history for v in past]]
+        return out
+
+    key = ["dst", "chunk"]
+    none = F.array().cast("array<double>")
+    parts = windows.select(*key).distinct().withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("dst")))
+    todo = known = materialise(parts.where("_all > 1").select(*key, none.alias("before")), "flood-parts")
+    left = F.coalesce(F.lag("after").over(Window.partitionBy("dst").orderBy("chunk")), none)
+    first = True
+    while todo.take(1):
+        own = windows.join(todo.select(*key), key, "left_semi").groupBy(*key)
+        walked = own.cogroup(todo.groupBy(*key)).applyInPandas(after, "dst string, chunk long, before array<double>, after array<double>")
+        walked = materialise(walked, "flood-histories")
+        known = walked if first else materialise(known.join(walked, key, "left_anti").unionByName(walked), "flood-histories")
+        todo = known.select(*key, "before", left.alias("_left")).where("before <> _left").select(*key, F.col("_left").alias("before"))
+        first = False
+    return known.select(*key, "before")
+
+
+def score_windows(windows: DataFrame, cfg: FloodConfig = FloodConfig(), rows: int = CHUNK_ROWS) -> DataFrame:
     """Append z-scores and the verdict to every flow window.
 
-    Works on aggregated windows: a destination contributes at most one row per window
-    length of covered time, however many flows hit it. Only the numbers needed travel to
-    Python; the verdicts are joined back to the full rows.
+    Works on aggregated windows, in chunks of about ``rows`` of one destination, which go to
+    different tasks: a destination with a third of all windows is no group of its own. Each chunk
+    starts from the clean history before it (:func:`_histories`), so the verdicts are those of
+    one walk over the destination. Only the numbers needed travel to Python; the verdicts are
+    joined back to the full rows.
     """
+    columns = windows.columns
+    windows = materialise(_chunked(windows, cfg, rows), "flood-windows")
+    numbers = windows.select("dst", "chunk", "window_start", "flow_count", *_METRICS)
 
-    def per_destination(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window_start", kind="stable")
-        history = new_history(cfg)
-        rows = [
-            judge(history, (p, b, e), f, cfg)
-            for p, b, e, f in zip(pdf.pkt_rate, pdf.byte_rate, pdf.src_ip_entropy, pdf.flow_count)
-        ]
-        out = pd.DataFrame(
-            rows, columns=["baseline_size", "pkt_z", "byte_z", "entropy_z", "flagged"]
-        )
+    def scored(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        pdf, verdicts, _ = _walk(pdf, before, cfg)
+        out = pd.DataFrame(verdicts, columns=["baseline_size", "pkt_z", "byte_z", "entropy_z", "flagged"])
         out.insert(0, "window_start", pdf.window_start.to_numpy())
         out.insert(0, "dst", pdf.dst.to_numpy())
         return out
 
-    scores = (
-        windows.select("dst", "window_start", "flow_count", *_METRICS)
-        .groupBy("dst")
-        .applyInPandas(per_destination, f"dst string, window_start timestamp, {_SCORES}")
-    )
-    return windows.join(scores, ["dst", "window_start"])
+    histories = _histories(numbers, cfg).groupBy("dst", "chunk")
+    scores = numbers.groupBy("dst", "chunk").cogroup(histories).applyInPandas(scored, f"dst string, window_start timestamp, {_SCORES}")
+    return windows.select(*columns).join(scores, ["dst", "window_start"])
 
 
 def flood_subtype(cfg: FloodConfig = FloodConfig()) -> Column:
