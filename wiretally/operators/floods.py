@@ -53,7 +53,7 @@ def new_history(cfg: FloodConfig) -> list[deque]:
 
 
 def _chunked(windows: DataFrame, cfg: FloodConfig, rows: int) -> DataFrame:
-    """Add ``chunk``: stretches of time of one destination, each with at least ``rows`` windows but for the last.
+    """Add ``chunk`` (0 first): stretches of time of one destination with at least ``rows`` windows each but for the last.
 
     Windows are counted per stretch of time first, so running sums pass over stretches, not over windows.
     """
@@ -61,6 +61,7 @@ def _chunked(windows: DataFrame, cfg: FloodConfig, rows: int) -> DataFrame:
     sizes = windows.groupBy("dst", stretch.alias("_stretch")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("dst").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
     chunks = sizes.select("dst", "_stretch", F.floor(F.coalesce(before, F.lit(0)) / rows).alias("chunk"))
+    chunks = materialise(chunks, "flood-chunks")
     return windows.withColumn("_stretch", stretch).join(chunks, ["dst", "_stretch"]).drop("_stretch")
 
 
@@ -93,6 +94,8 @@ def _histories(windows: DataFrame, cfg: FloodConfig) -> DataFrame:
         return out
 
     key = ["dst", "chunk"]
+    if not windows.where("chunk > 0").take(1):
+        return windows.sparkSession.createDataFrame([], "dst string, chunk long, before array<double>")
     none = F.array().cast("array<double>")
     parts = windows.select(*key).distinct().withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("dst")))
     todo = known = materialise(parts.where("_all > 1").select(*key, none.alias("before")), "flood-parts")
@@ -117,9 +120,8 @@ def score_windows(windows: DataFrame, cfg: FloodConfig = FloodConfig(), rows: in
     one walk over the destination. Only the numbers needed travel to Python; the verdicts are
     joined back to the full rows.
     """
-    columns = windows.columns
-    windows = materialise(_chunked(windows, cfg, rows), "flood-windows")
-    numbers = windows.select("dst", "chunk", "window_start", "flow_count", *_METRICS)
+    windows = materialise(windows, "flood-windows")
+    numbers = _chunked(windows.select("dst", "window_start", "flow_count", *_METRICS), cfg, rows)
 
     def scored(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         pdf, verdicts, _ = _walk(pdf, before, cfg)
@@ -130,7 +132,7 @@ def score_windows(windows: DataFrame, cfg: FloodConfig = FloodConfig(), rows: in
 
     histories = _histories(numbers, cfg).groupBy("dst", "chunk")
     scores = numbers.groupBy("dst", "chunk").cogroup(histories).applyInPandas(scored, f"dst string, window_start timestamp, {_SCORES}")
-    return windows.select(*columns).join(scores, ["dst", "window_start"])
+    return windows.join(scores, ["dst", "window_start"])
 
 
 def flood_subtype(cfg: FloodConfig = FloodConfig()) -> Column:
