@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from wiretally.functions.domains import candidate_label
 from wiretally.functions.stats import char_entropy
 from wiretally.operators.evaluate import confusion, f_scores
+from wiretally.session import materialise
 
 # Character classes, shortest word, likelihood of an unseen bigram.
 VOWELS = "aeiou"
@@ -19,6 +23,8 @@ CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 MIN_WORD = 3
 MAX_LABEL = 63
 UNSEEN_LOG10 = -4.5
+#: Bytes of words up to which an automaton is broadcast; it takes some fifty times as much in a worker.
+AUTOMATON_BYTES = 4 << 20
 FEATURES = (
     "label_length",
     "label_entropy",
@@ -51,33 +57,55 @@ def lexical_features(labels: DataFrame) -> DataFrame:
     )
 
 
-def longest_word_ratio(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """Length of the longest listed word inside each label, relative to the label.
+def _longest_by_automaton(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """(label, _longest): labels walked once each through an Aho-Corasick automaton of a bounded word list."""
+    from ahocorasick import Automaton
 
-    Labels are at most 63 characters, so a label explodes to a bounded number of
-    substrings; these are matched to the word list by one equi join.
-    """
+    automaton = Automaton()
+    for row in words.toLocalIterator():
+        automaton.add_word(row.word, len(row.word))
+    if not len(automaton):
+        return labels.select("label", F.lit(0).alias("_longest"))
+    automaton.make_automaton()
+    shared = labels.sparkSession.sparkContext.broadcast(automaton)
+
+    def longest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            best = [max((n for _, n in shared.value.iter(label)), default=0) for label in frame.label]
+            yield pd.DataFrame({"label": frame.label, "_longest": best})
+
+    return labels.where(F.col("label").isNotNull()).select("label").mapInPandas(longest, "label string, _longest int")
+
+
+def _longest_by_join(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """(label, _longest): substrings, a bounded number per label, joined to a word list of any size."""
     n = F.length("label")
     starts = labels.filter(n >= MIN_WORD).select(
         "label", n.alias("_n"), F.explode(F.sequence(F.lit(1), n - MIN_WORD + 1)).alias("_at")
     )
+    longest = F.least(F.col("_n") - F.col("_at") + 1, F.lit(MAX_LABEL))
     pieces = starts.select(
         "label",
         F.explode(
-            F.transform(
-                F.sequence(F.lit(MIN_WORD), F.col("_n") - F.col("_at") + 1),
-                lambda k: F.substring(F.col("label"), F.col("_at"), k),
-            )
+            F.transform(F.sequence(F.lit(MIN_WORD), longest), lambda k: F.substring(F.col("label"), F.col("_at"), k))
         ).alias("word"),
     )
-    best = (
-        pieces.distinct()
-        .join(words.select("word").distinct(), "word", "left_semi")
-        .groupBy("label")
-        .agg(F.max(F.length("word")).alias("_longest"))
-    )
+    return pieces.distinct().join(words, "word", "left_semi").groupBy("label").agg(F.max(F.length("word")).alias("_longest"))
+
+
+def longest_word_ratio(labels: DataFrame, words: DataFrame, bound: int = AUTOMATON_BYTES) -> DataFrame:
+    """Length of the longest listed word inside each distinct label, relative to the label.
+
+    A word list of at most ``bound`` bytes becomes an automaton, which each worker holds once; a
+    longer one is joined with the substrings of the labels. Words have 3 to 63 characters.
+    """
+    size = F.length("word")
+    listed = words.select("word").where((size >= MIN_WORD) & (size <= MAX_LABEL)).distinct()
+    listed = materialise(listed, "word-list")
+    held = listed.agg(F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()[0]
+    best = _longest_by_automaton(labels, listed) if held <= bound else _longest_by_join(labels, listed)
     return labels.join(best, "label", "left").select(
-        "label", F.round(F.coalesce("_longest", F.lit(0)) / n, 6).alias("longest_word_ratio")
+        "label", F.round(F.coalesce("_longest", F.lit(0)) / F.length("label"), 6).alias("longest_word_ratio")
     )
 
 

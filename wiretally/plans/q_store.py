@@ -347,6 +347,31 @@ def upsert(spark, d):
     return store.upsert_alerts(base, incoming).select("alert_id", "severity", "confidence", "detector")
 
 
+_NEW = "threat_class IN ('beaconing', 'dga_dns')"
+
+
+@query(
+    "s21_upsert_lists",
+    f"""SELECT alert_id, CASE WHEN {_NEW} THEN 'capture_9' ELSE pcap_id END AS pcap_id, list, item FROM (
+      SELECT *, 'raw_alert_ids' AS list, unnest(CASE WHEN {_NEW} THEN [source || '_a', source || '_b'] ELSE [destination] END) AS item FROM stored
+      UNION ALL SELECT *, 'correlated_ids' AS list, correlation_id AS item FROM stored WHERE correlation_id IS NOT NULL AND threat_class <> 'beaconing')""",
+)
+def upsert_lists(spark, d):
+    """Two upserts: the second moves beacons to another capture with new raw ids and no peers."""
+    s = stored(spark, d)
+    path = fresh_path(spark, "alert-store")
+    raw = lambda df, *items: df.select("alert_id", F.lit("raw_alert_ids").alias("list"), F.explode(F.array(*items)).alias("item"))
+    peers = s.where("correlation_id IS NOT NULL").select("alert_id", F.lit("correlated_ids").alias("list"), F.col("correlation_id").alias("item"))
+    first = s.where("threat_class <> 'dga_dns'")
+    store.upsert_with_lists(spark, path, first, raw(first, "destination").union(peers))
+    new = s.where(_NEW).withColumn("pcap_id", F.lit("capture_9"))
+    mine = peers.join(new.where("threat_class = 'dga_dns'"), "alert_id", "left_semi")
+    second = raw(new, F.concat("source", F.lit("_a")), F.concat("source", F.lit("_b"))).union(mine)
+    store.upsert_with_lists(spark, path, new, second)
+    alerts, lists = store.read_alerts(spark, path, s.schema)
+    return lists.join(alerts.select("alert_id", "pcap_id"), "alert_id").select("alert_id", "pcap_id", "list", "item")
+
+
 @query("s22_delete_scope", "SELECT alert_id, pcap_id FROM stored WHERE pcap_id IS NULL OR pcap_id <> 'capture_1'")
 def delete(spark, d):
     return store.delete_scope(stored(spark, d), "capture_1").select("alert_id", "pcap_id")

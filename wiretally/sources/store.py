@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from wiretally.session import materialise
 
@@ -19,6 +20,8 @@ REPLACED = (
     "supporting_evidence",
     "pcap_id",
 )
+#: Raw and correlated ids of alerts, a row each.
+LISTS = "alert_id string, list string, item string"
 # Lifetimes by kind of table, in seconds, and the seconds of time one partition holds.
 LIFETIMES = {
     "logs": (26 * 3600, 3600),
@@ -62,6 +65,68 @@ def upsert_alerts(base: DataFrame, incoming: DataFrame) -> DataFrame:
     return merge(base, incoming, "alert_id", REPLACED)
 
 
+def _part() -> Column:
+    """Partition of an alert: its capture, in a form that a folder name keeps (no capture: ``p``)."""
+    return F.concat(F.lit("p"), F.coalesce("pcap_id", F.lit(""))).alias("part")
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """Number of the newest finished manifest and its rows (part, version); 0 and no rows in a new store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [status.getPath() for status in files.globStatus(folder.suffix("/n=*/_SUCCESS"))]
+    newest = max((int(place.getParent().getName().removeprefix("n=")) for place in found), default=0)
+    schema = "part string, version int"
+    if not newest:
+        return 0, spark.createDataFrame([], schema)
+    return newest, spark.read.schema(schema).parquet(f"{path}/manifest/n={newest}")
+
+
+def _live(spark: SparkSession, path: str, table: str, manifest: DataFrame, schema: str | StructType) -> DataFrame:
+    """Rows of a table in the folders that the manifest names; Spark prunes the others by their names."""
+    known = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = [*known.fields, StructField("version", IntegerType()), StructField("part", StringType())]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], StructType(fields))
+    return spark.read.schema(StructType(fields)).parquet(f"{path}/{table}").join(manifest, ["part", "version"], "left_semi")
+
+
+def read_alerts(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
+    """Alerts of the store and their lists (alert_id, list, item)."""
+    _, manifest = _manifest(spark, path)
+    alerts, lists = _live(spark, path, "alerts", manifest, schema), _live(spark, path, "lists", manifest, LISTS)
+    return alerts.drop("part", "version"), lists.drop("part", "version")
+
+
+def upsert_with_lists(spark: SparkSession, path: str, incoming: DataFrame, lists: DataFrame) -> int:
+    """Upsert alerts, one row per ``alert_id``, with their lists (alert_id, list, item) of raw and correlated ids.
+
+    An alert that comes again has its lists replaced as a whole, even by none; the others keep
+    theirs. Lists of alerts that do not come are ignored, and so are repeated items. Only captures that the alerts
+    come from or were in before are rewritten, into folders of a new version. The new manifest, written
+    last, switches all tables at once: before it is finished, readers see the old state, and a repeated call
+    overwrites what a killed one left behind. One writer at a time. Returns the version.
+    """
+    before, manifest = _manifest(spark, path)
+    version = before + 1
+    incoming = materialise(incoming, "incoming-alerts")
+    ids = incoming.select("alert_id")
+    alerts = _live(spark, path, "alerts", manifest, incoming.schema)
+    homes = alerts.join(ids, "alert_id", "left_semi").select("part")
+    touched = materialise(incoming.select(_part()).union(homes).distinct(), "touched-captures")
+    base = alerts.join(touched, "part", "left_semi").drop("part", "version")
+    merged = materialise(upsert_alerts(base, incoming).select(*incoming.columns, _part()), "merged-alerts")
+    kept = _live(spark, path, "lists", manifest, LISTS).join(touched, "part", "left_semi").select("alert_id", "list", "item")
+    items = kept.join(ids, "alert_id", "left_anti").union(lists.select("alert_id", "list", "item").join(ids, "alert_id", "left_semi"))
+    items = items.distinct().join(merged.select("alert_id", "part"), "alert_id")
+    for table, rows in (("alerts", merged), ("lists", items)):
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{table}/version={version}")
+    current = manifest.join(touched, "part", "left_anti").union(touched.select("part", F.lit(version).alias("version")))
+    current.write.mode("overwrite").parquet(f"{path}/manifest/n={version}")
+    return version
+
+
 def upsert_analysis(base: DataFrame, incoming: DataFrame) -> DataFrame:
     """Session records: given fields replace, absent ones stay."""
     return merge(base, incoming, "pcap_id", None)
