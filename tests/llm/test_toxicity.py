@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +37,36 @@ def test_decoding_restores_words():
         assert word in toxicity.restored_words(f"so {disguise}, yes", letters), disguise
 
 
+def test_disguises_of_any_length_and_script():
+    letters = letters_of("such an idiot you idiot and a loser they said what a stupid clown you are bad trash moron good hello letter " * 50)
+    cases = (
+        ("i" + "d" * 40 + "iot", "idiot"),
+        ("l0" + "0" * 60 + "ser", "loser"),
+        ("i d 1 @ t", None),
+        ("i d 1 o t", "idiot"),
+        ("$ t u p 1 d", "stupid"),
+        ("b a d", "bad"),
+        ("y o u i d i o t", "idiot"),
+        ("y o u i d i o t", "you"),
+        ("m\u043er\u043en", "moron"),
+        ("tr\u03b1sh", "trash"),
+        ("lo\u200bser", "loser"),
+    )
+    for disguise, word in cases:
+        found = toxicity.restored_words(f"so {disguise}, yes", letters)
+        assert word is None or word in found, (disguise, found)
+        assert len(found) > 2, disguise
+    assert toxicity.restored_words("\u043c\u0430\u043c\u0430 na\u00efve 1000000 3 5 7 9", letters) == {"\u043c\u0430\u043c\u0430", "na\u00efve"}
+
+
+def test_long_stretches_take_linear_time():
+    letters = letters_of("banana bandana cabana an ban nab " * 20)
+    started = time.monotonic()
+    for text in ("ab" * 100_000 + "aaab", "a!|" * 60_000 + "b", "a " * 100_000 + "b", "!" * 300_000, "b4" * 60_000):
+        toxicity.restored_words(text, letters)
+    assert time.monotonic() - started < 60
+
+
 def test_viterbi_is_exact():
     letters, table = letters_of("banana bandana cabana an ban nab " * 20), toxicity.classes()
 

@@ -23,8 +23,7 @@ from wiretally.session import materialise
 
 #: Labelled rows that are learned from: at most this many, those with the least hashes of their ids.
 SAMPLE = 60_000
-#: Words and beginnings that the finished model keeps at most, the least bound of one, and the lengths of beginnings.
-FEATURES = 4096
+#: The least bound of a word or beginning that the model keeps, and the lengths of beginnings.
 LEAST_BOUND = 0.45
 BEGINNINGS = (4, 5, 6)
 #: Toxic training documents that a feature needs, and standard errors below its share that count.
@@ -38,9 +37,18 @@ BASE = 0.25
 THRESHOLD = 0.3
 #: Signs and the letters that they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "il", "|": "il"}
+#: Letters of other scripts that look like Latin ones, and signs without width.
+HOMOGLYPHS = {
+    "а": "a", "в": "b", "е": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
+    "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ո": "n",
+    "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
+}
+NO_WIDTH = dict.fromkeys((0x00AD, 0x034F, 0x180E, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 #: What an emitted letter gains, so that shorter readings are not preferred for having fewer letters.
 LETTER_GAIN = 1.9
-LONGEST = 32
+#: Readings of stretches that a worker remembers, and the longest stretch that it does; others are decoded anew.
+REMEMBERED = 50_000
+REMEMBERED_LENGTH = 40
 #: Pairs that a task counts before it hands over partial sums.
 HELD = 500_000
 
@@ -48,7 +56,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 SIGNS = re.compile(r"[0134570@$!|]")
 SIGNED = re.compile(r"(?<![^\W_])[^\W\d_]*[013457@$!|]+(?:[^\W_]|[@$!|])*")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
-APART = re.compile(r"(?<!\w)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\w)")
+APART = re.compile(r"(?<![\w@$!|])(?:[^\W_@$!|][ .\-_*]|[@$!|][ .\-_*]){2,}(?:[^\W_]|[@$!|])(?![\w@$!|])")
+LONG_RUN = re.compile(r"(.)\1{2,}")
 
 
 class Letters:
@@ -61,47 +70,69 @@ class Letters:
         double = (pairs + 20 * single) / (pairs.sum(axis=1, keepdims=True) + 20)
         triple = (table + 20 * double[None]) / (table.sum(axis=2, keepdims=True) + 20)
         self.logs = np.log(triple).astype(np.float32)
+        self.read: dict[tuple[str, bool], list[str]] = {}
 
 
 def lattice(stretch: str) -> list[list[str]]:
     """Per run of equal characters, the letters that it may stand for; separators stand for none."""
     out = []
     for sign, run in groupby(stretch):
-        n = len(list(run))
+        n = sum(1 for _ in run)
         if sign in " .-_*":
             continue
-        letters = LOOKALIKES.get(sign, sign)
+        letters = LOOKALIKES.get(sign) or sign + HOMOGLYPHS.get(sign, "")
         out.append([c * k for c in letters for k in ((1, 2) if n > 1 else (1,))])
     return out
 
 
-def decode(stretch: str, letters: Letters, classes: np.ndarray) -> str:
-    """The likeliest word behind a disguised stretch (in lower case)."""
+def decode(stretch: str, letters: Letters, classes: np.ndarray, breaks: bool = False) -> str:
+    """The likeliest word behind a disguised stretch (in lower case), or words if ``breaks`` may come after letters.
+
+    Takes time and memory in proportion to the stretch: states are pairs of letters, readings are chains of choices.
+    """
     logs = letters.logs
-    best = {(0, 0): (0.0, "")}
-    for choices in [*lattice(stretch), [""]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    steps = lattice(stretch)
+    if breaks:
+        steps = [[*choices, *(c + " " for c in choices)] for choices in steps[:-1]] + steps[-1:]
+    for choices in [*steps, [""]]:
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (score, chain) in best.items():
             for choice in choices:
                 x, y, total = a, b, score
                 for c in choice or "\n":
                     z = int(classes[ord(c)]) if ord(c) < len(classes) else 0
-                    total += float(logs[x, y, z]) + (LETTER_GAIN if choice else 0)
+                    total += float(logs[x, y, z]) + (LETTER_GAIN if choice and c != " " else 0)
                     x, y = y, z
                 if (x, y) not in after or after[x, y][0] < total:
-                    after[x, y] = (total, text + choice)
+                    after[x, y] = (total, (chain, choice))
         best = after
-    return max(best.values())[1]
-
-
-def disguised(lower: str) -> Iterator[str]:
-    """Stretches of a lower-case text that need decoding."""
+    chain = max(best.values(), key=lambda found: found[0])[1]
+    parts = []
+    while chain:
+        chain, choice = chain
+        parts.append(choice)
+    return "".join(reversed(parts))
+
+
+def _core(signed: str) -> str:
+    """A stretch with signs, without those that stress it at its ends, and no run longer than two."""
+    core = signed.lstrip("!|")
+    if core[-1:] in ("!", "|"):
+        core = core.rstrip("!|")
+    elif core[-1:] in ("$", "@") and core[-3:] == core[-1:] * 3:
+        core = core.rstrip(core[-1])
+    return LONG_RUN.sub(r"\1\1", core)
+
+
+def disguised(lower: str) -> Iterator[tuple[str, bool]]:
+    """Stretches of a lower-case text that need decoding, of any length, and whether they may be several words."""
     if SIGNS.search(lower):
         for m in SIGNED.finditer(lower):
-            core = re.sub(r"([$@!|])\1\1+$|[!|]+$", "", m[0].lstrip("!|"))
-            if 3 <= len(core) <= LONGEST and not core.isalpha() and sum(c.isalpha() for c in core) * 3 >= len(core):
+            core = _core(m[0])
+            if len(core) >= 3 and not core.isalpha() and sum(c.isalpha() for c in core) * 3 >= len(core):
                 if all(c.isalpha() or c in LOOKALIKES for c in core):
-                    yield core
+                    yield core, False
     end = 0
     for m in STRETCHED.finditer(lower):
         if m.start() >= end:
@@ -110,10 +141,14 @@ def disguised(lower: str) -> Iterator[str]:
                 start -= 1
             while end < len(lower) and lower[end].isalpha():
                 end += 1
-            if end - start <= LONGEST:
-                yield lower[start:end]
+            yield LONG_RUN.sub(r"\1\1", lower[start:end]), False
     for m in APART.finditer(lower):
-        yield m[0]
+        if sum(c.isalpha() for c in m[0]) * 4 > len(m[0]):
+            yield m[0], True
+    if not lower.isascii():
+        for word in WORDS.findall(lower):
+            if not word.isascii() and any(c in HOMOGLYPHS for c in word) and any("a" <= c <= "z" for c in word):
+                yield LONG_RUN.sub(r"\1\1", word), False
 
 
 _CLASSES: list[np.ndarray] = []
@@ -125,12 +160,26 @@ def classes() -> np.ndarray:
     return _CLASSES[0]
 
 
+def readings(stretch: str, breaks: bool, letters: Letters) -> list[str]:
+    """Words behind a stretch; short stretches are remembered, as the same ones come again and again."""
+    if len(stretch) > REMEMBERED_LENGTH:
+        return decode(stretch, letters, classes(), breaks).split()
+    found = letters.read.get((stretch, breaks))
+    if found is None:
+        if len(letters.read) >= REMEMBERED:
+            letters.read.clear()
+        found = letters.read[stretch, breaks] = decode(stretch, letters, classes(), breaks).split()
+    return found
+
+
 def restored_words(text: str, letters: Letters) -> set[str]:
     """Distinct words of the text, and of its disguised stretches once decoded."""
     lower = text.lower()
+    if not lower.isascii():
+        lower = lower.translate(NO_WIDTH)
     words = set(WORDS.findall(lower))
-    for stretch in set(disguised(lower)):
-        words.add(decode(stretch, letters, classes()))
+    for stretch, breaks in set(disguised(lower)):
+        words.update(readings(stretch, breaks, letters))
     return words
 
 
@@ -213,8 +262,8 @@ def train_features(docs: DataFrame, labels: DataFrame, letters, sample: int = SA
     bound = (share + z2 / (2 * F.col("n")) - ERRORS * F.sqrt(share * (1 - share) / F.col("n") + z2 / (4 * F.col("n") ** 2))) / (1 + z2 / F.col("n"))
     counted = counted.withColumn("bound", bound)
     best = counted.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("bound") >= LEAST_BOUND))
-    found = best.orderBy(F.desc("bound"), "feature").limit(FEATURES).collect()
-    weights = {r["feature"]: float(r["bound"]) for r in found}
+    # At most a fourth of the words of the sampled toxic texts.
+    weights = {r["feature"]: float(r["bound"]) for r in best.select("feature", "bound").collect()}
     base = sampled.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     weights = _without_followers(labelled, letters, weights)
     return docs.sparkSession.sparkContext.broadcast((weights, min(BASE * base, THRESHOLD / 2)))
