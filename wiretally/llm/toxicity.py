@@ -57,6 +57,10 @@ SIGNS = re.compile(r"[0134570@$!|]")
 SIGNED = re.compile(r"(?<![^\W_])[^\W\d_]*[013457@$!|]+(?:[^\W_]|[@$!|])*")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 APART = re.compile(r"(?<![\w@$!|])(?:[^\W_@$!|][ .\-_*]|[@$!|][ .\-_*]){2,}(?:[^\W_]|[@$!|])(?![\w@$!|])")
+#: The end of every stretch that APART finds, NO_WIDTH signs and HOMOGLYPHS: quick to look for, and mostly absent.
+APART_END = re.compile(r"[ .\-_*](?:[^\W_]|[@$!|])[ .\-_*](?:[^\W_]|[@$!|])(?![\w@$!|])")
+ANY_NO_WIDTH = re.compile(f"[{''.join(map(chr, NO_WIDTH))}]")
+ANY_HOMOGLYPH = re.compile(f"[{''.join(HOMOGLYPHS)}]")
 LONG_RUN = re.compile(r"(.)\1{2,}")
 
 
@@ -142,10 +146,10 @@ def disguised(lower: str) -> Iterator[tuple[str, bool]]:
             while end < len(lower) and lower[end].isalpha():
                 end += 1
             yield LONG_RUN.sub(r"\1\1", lower[start:end]), False
-    for m in APART.finditer(lower):
+    for m in APART.finditer(lower) if APART_END.search(lower) else ():
         if sum(c.isalpha() for c in m[0]) * 4 > len(m[0]):
             yield m[0], True
-    if not lower.isascii():
+    if not lower.isascii() and ANY_HOMOGLYPH.search(lower):
         for word in WORDS.findall(lower):
             if not word.isascii() and any(c in HOMOGLYPHS for c in word) and any("a" <= c <= "z" for c in word):
                 yield LONG_RUN.sub(r"\1\1", word), False
@@ -175,7 +179,7 @@ def readings(stretch: str, breaks: bool, letters: Letters) -> list[str]:
 def restored_words(text: str, letters: Letters) -> set[str]:
     """Distinct words of the text, and of its disguised stretches once decoded."""
     lower = text.lower()
-    if not lower.isascii():
+    if not lower.isascii() and ANY_NO_WIDTH.search(lower):
         lower = lower.translate(NO_WIDTH)
     words = set(WORDS.findall(lower))
     for stretch, breaks in set(disguised(lower)):
