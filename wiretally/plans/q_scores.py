@@ -552,7 +552,8 @@ def raw_findings(spark, d):
     o = ad.table(spark, d, "orders")
     k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
     text = lambda x: x.cast("string")
-    score = F.when(price > 450000, "n/a").otherwise(text(F.round(price / 500000, 3)))
+    # Three decimals as the SQL rounds them: the product is rounded, not the shortest decimal text.
+    score = F.when(price > 450000, "n/a").otherwise(text(F.round(price / 500000 * 1000) / 1000))
     return o.select(
         k.alias("id"),
         F.when(F.col("o_orderstatus") == "F", "High").when(F.col("o_orderstatus") == "O", "None").otherwise("Odd").alias("Severity"),
