@@ -32,7 +32,7 @@ def halves(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ("p27_normalize_findings", "s10_read_findings_csv"))
+@pytest.mark.parametrize("name", ("p27_normalize_findings", "s10_read_findings_csv", "s24_drop_expired"))
 def test_against_sql(name, spark, halves):
     got = entry.queries()[name](spark, halves).toArrow()
     assert compare(got, connect(halves).execute(entry.oracle_sql()[name]).to_arrow_table()) is None

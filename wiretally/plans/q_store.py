@@ -426,7 +426,8 @@ def _lifetimes_sql() -> str:
 def drop_expired(spark, d):
     """A table of each lifetime, filed by time: rows left and partitions dropped at the newest record's time."""
     c = ad.conn_events(spark, d).select("uid", "ts")
-    now = c.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    # The newest record's time in whole seconds, rounded like the SQL's.
+    now = c.agg(F.rint(F.unix_micros(F.max("ts")) / 1_000_000).cast("bigint")).first()[0]
     found = None
     for kind, (keep, unit) in store.LIFETIMES.items():
         path = fresh_path(spark, f"filed-{kind}")
