@@ -335,13 +335,23 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(components(links), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
 
 
+def fuzzy_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of ids that connect all whose ``print`` values differ in at most two bits (see :func:`links`)."""
+    prints = materialise(classes.groupBy("print").agg(F.min("id").alias("least")), "class-prints")
+    end = lambda name: prints.select(F.col("print").alias(name), F.col("least").alias(f"id_{name}"))
+    near = links(prints).join(end("a"), "a").join(end("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    same = classes.join(prints, "print").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return near.union(same).where("a <> b")
+
+
 def _grouped(texts: DataFrame) -> DataFrame:
     """(id, root) of ``texts`` (id, text), linked by five-word shingles with a similarity of at least 0.8.
 
     Texts with the same words in the same order meet first, whatever their number, and are
-    represented by their least id. All similar pairs share a key (see :func:`prefix`); links are
-    verified on whole texts. The members of a large key meet its central member first; then all
-    pairs of the key that are not connected by then are compared, so no link is missed.
+    represented by their least id. Candidates are the pairs that SimHash and Golay keys link and, as fingerprints of
+    similar texts may differ in more bits, the pairs that share a shingle key (see :func:`prefix`); all similar
+    pairs do. Both are verified on whole texts. The members of a large key meet its central member first; then the
+    pairs of the key that are not connected by then are compared if it can be the first shingle they share, so no link is missed.
     """
     frequent = _frequent(texts)
     found = materialise(
@@ -349,32 +359,35 @@ def _grouped(texts: DataFrame) -> DataFrame:
     )
     first = F.min(F.struct("id", "print", "size", "keys")).alias("first")
     classes = materialise(found.groupBy("digest").agg(first).select("digest", "first.*"), "word-classes")
-    keys = classes.select("id", F.explode("keys").alias("key"))
+    keys = classes.select("id", "size", F.posexplode("keys").alias("at", "key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     counts = materialise(counts, "prefix-counts")
     shared = materialise(keys.join(counts.where("n > 2").select("key", "n"), "key"), "shared-prefixes")
     sets = shared.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
     firsts = sets.select("ids", F.posexplode("ids").alias("at", "a"))
     every = firsts.select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-    known = classes.groupBy("id").agg(F.min("print").alias("print"), F.max("size").alias("size"))
+    known = classes.groupBy("id").agg(F.min("print").alias("print"))
     large = materialise(shared.where(F.col("n") > ALL_PAIRS).join(known, "id"), "large-prefixes")
     own = large.groupBy("id").agg(F.max(F.struct("n", "key")).alias("most")).select("id", F.col("most.key").alias("key"))
     stars = own.join(_central(large), "key").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    pairs = materialise(counts.where("n = 2").select("a", "b").union(every).union(stars).distinct(), "candidate-pairs")
+    pairs = materialise(counts.where("n = 2").select("a", "b").union(every).union(stars).union(fuzzy_pairs(classes)).distinct(), "candidate-pairs")
     pairs = _possible(pairs, classes, frequent)
     bodies = _bodies(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")), texts)
-    links = _verified(pairs, bodies)
-    rooted = materialise(_rooted(large.select("key", "id", "size"), links), "large-keys")
+    found_links = _verified(pairs, bodies)
+    rooted = materialise(_rooted(large.select("key", "id", "size", "at"), found_links), "large-keys")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     apart = materialise(rooted.join(mixed, "key", "left_semi"), "mixed-keys")
-    other = apart.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    other = apart.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
     fits = (F.col("size") >= SIMILARITY * F.col("size_b") - 1e-6) & (F.col("size_b") >= SIMILARITY * F.col("size") - 1e-6)
-    rest = apart.withColumnRenamed("id", "a").join(other, "key").where((F.col("root") < F.col("root_b")) & fits)
+    # As the first shared shingle, a key leaves no more to share than what comes from it on in either text.
+    left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    first_shared = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("size_b")) - 1e-6
+    rest = apart.withColumnRenamed("id", "a").join(other, "key").where((F.col("root") < F.col("root_b")) & fits & first_shared)
     rest = materialise(rest.select("a", "b").distinct(), "remaining-pairs")
     if rest.take(1):
         rest = _possible(rest, classes, frequent)
-        links = links.union(_verified(rest, bodies))
-    named = _rooted(classes.select("digest", "id"), links)
+        found_links = found_links.union(_verified(rest, bodies))
+    named = _rooted(classes.select("digest", "id"), found_links)
     return found.select("id", "digest").join(named.select("digest", "root"), "digest").select("id", "root")
 
 
