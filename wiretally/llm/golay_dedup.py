@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wiretally.llm.common import map_rows, texts_of
 from wiretally.llm.components import components
-from wiretally.session import materialise
+from wiretally.session import materialise, release
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
 GENERATOR = 0b101011100011
@@ -161,11 +161,13 @@ SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
 #: Members of a key that are all compared; those of larger keys meet a central member first.
 ALL_PAIRS = 16
-#: Documents (about) whose shingles are counted to put frequent ones last, the least count of a frequent one, and
-#: how many are held. They set the order of shingles only: any order finds all pairs, a good one has small keys.
+#: Documents (about) and share of them at least whose shingles are counted to put frequent ones last, the least count
+#: of a frequent one, and how many are held. They set the order of shingles only: any order finds all pairs, a good one
+#: has small keys. A share, as shingles that too small a sample misses make keys that grow with the corpus.
 ORDER_SAMPLE = 10_000
+ORDER_SHARE = 0.2
 FREQUENT = 4
-HELD_FREQUENT = 1 << 18
+HELD_FREQUENT = 1 << 20
 
 
 def shingle_set(text: str, size: int = SIMILAR_SHINGLE) -> set[tuple[bytes, ...]]:
@@ -214,7 +216,7 @@ def _shingle_rows(batches: Iterator[dict]) -> Iterator[dict]:
 
 def _frequent(texts: DataFrame):
     """Broadcast (hashes, counts) of the most frequent shingles of a sample of the documents."""
-    share = min(1.0, ORDER_SAMPLE / max(texts.count(), 1))
+    share = min(1.0, max(ORDER_SHARE, ORDER_SAMPLE / max(texts.count(), 1)))
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("text")
     counted = map_rows(some, _shingle_rows, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     rows = counted.orderBy(F.desc("n"), "key").limit(HELD_FREQUENT).toPandas()
@@ -315,19 +317,25 @@ def _possible(pairs: DataFrame, classes: DataFrame, frequent) -> DataFrame:
     both = near.join(side(one, "a"), "a").join(side(one, "b"), "b")
     both = both.withColumn("single", (F.col("texts_a") == 1) & (F.col("texts_b") == 1))
     kept = map_rows(both.select("a", "b", "single", "size_a", "size_b", "keys_a", "keys_b"), _possible_rows(frequent), "a long, b long")
-    return materialise(kept, "possible-pairs")
+    kept = materialise(kept, "possible-pairs")
+    release(pairs.sparkSession, near)
+    return kept
 
 
 def _bodies(ids: DataFrame, texts: DataFrame) -> DataFrame:
     chosen = texts.join(ids.distinct().hint("merge"), "id", "left_semi")  # one plan at every size
-    return materialise(chosen.groupBy("id").agg(F.min("text").alias("text")), "candidate-texts")
+    bodies = materialise(chosen.groupBy("id").agg(F.min("text").alias("text")), "candidate-texts")
+    release(texts.sparkSession)
+    return bodies
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose texts are similar."""
     left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    return materialise(map_rows(both.select("a", "b", "left", "right"), _similar_rows, "a long, b long"), "similar-pairs")
+    found = materialise(map_rows(both.select("a", "b", "left", "right"), _similar_rows, "a long, b long"), "similar-pairs")
+    release(pairs.sparkSession)
+    return found
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,12 +361,15 @@ def _grouped(texts: DataFrame) -> DataFrame:
     pairs do. Both are verified on whole texts. The members of a large key meet its central member first; then the
     pairs of the key that are not connected by then are compared if it can be the first shingle they share, so no link is missed.
     """
-    frequent = _frequent(texts)
+    spark, frequent = texts.sparkSession, _frequent(texts)
+    release(spark)
     found = materialise(
         map_rows(texts, _prefix_rows(frequent), "id long, digest binary, print long, size int, keys array<long>"), "prefixes"
     )
     first = F.min(F.struct("id", "print", "size", "keys")).alias("first")
     classes = materialise(found.groupBy("digest").agg(first).select("digest", "first.*"), "word-classes")
+    digests = materialise(found.select("id", "digest"), "digests")
+    release(spark, found)
     keys = classes.select("id", "size", F.posexplode("keys").alias("at", "key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     counts = materialise(counts, "prefix-counts")
@@ -371,6 +382,7 @@ def _grouped(texts: DataFrame) -> DataFrame:
     own = large.groupBy("id").agg(F.max(F.struct("n", "key")).alias("most")).select("id", F.col("most.key").alias("key"))
     stars = own.join(_central(large), "key").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
     pairs = materialise(counts.where("n = 2").select("a", "b").union(every).union(stars).union(fuzzy_pairs(classes)).distinct(), "candidate-pairs")
+    release(spark, shared)
     pairs = _possible(pairs, classes, frequent)
     bodies = _bodies(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")), texts)
     found_links = _verified(pairs, bodies)
@@ -387,8 +399,11 @@ def _grouped(texts: DataFrame) -> DataFrame:
     if rest.take(1):
         rest = _possible(rest, classes, frequent)
         found_links = found_links.union(_verified(rest, bodies))
+    release(spark, bodies, rooted, apart)
     named = _rooted(classes.select("digest", "id"), found_links)
-    return found.select("id", "digest").join(named.select("digest", "root"), "digest").select("id", "root")
+    groups = materialise(digests.join(named.select("digest", "root"), "digest").select("id", "root"), "groups")
+    release(spark, classes, digests, counts, large, pairs)
+    return groups
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
